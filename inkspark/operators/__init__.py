@@ -1,0 +1 @@
+"""Operators of the note and chat engine."""

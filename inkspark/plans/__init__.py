@@ -1,0 +1 @@
+"""Plans of the note and chat engine."""

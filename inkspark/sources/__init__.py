@@ -1,0 +1 @@
+"""Sources of the note and chat engine."""

@@ -1,0 +1 @@
+"""Streaming of the note and chat engine."""
