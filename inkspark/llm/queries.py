@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from inkspark.llm import tokens
+from inkspark.llm import neardup, tokens
 
 QUERIES = {
+    "p3_found": neardup.found,
+    "p3_classes": neardup.classes,
     "p4_doc_tokens": tokens.document_tokens,
     "p4_slices": tokens.slices,
     "p6_ids": tokens.corpus_ids,
