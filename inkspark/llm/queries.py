@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from inkspark.llm import neardup, tokens
+from inkspark.llm import neardup, subjects, tokens
 
 QUERIES = {
     "p3_found": neardup.found,
     "p3_classes": neardup.classes,
     "p4_doc_tokens": tokens.document_tokens,
     "p4_slices": tokens.slices,
+    "p8_found": subjects.found,
+    "p8_composition": subjects.composition,
     "p6_ids": tokens.corpus_ids,
     "p6_decoded": tokens.decoded_lengths,
 }
