@@ -3,7 +3,7 @@
 Spark splits every text into pre-split pieces and counts them; each distinct piece is encoded once.
 Pieces that hold at least one in HEAD_SHARE of all occurrences (so at most HEAD_SHARE pieces, whatever
 the corpus) are broadcast and looked up where the text is; all others, each too rare to be a hot key,
-are joined back by piece.
+meet by piece, are encoded there, and return to their document by position.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspark.llm.bpe import TOKENIZERS, encode, load_merges
+from inkspark.llm.bpe import TOKENIZERS, Merges, encode, load_merges
 from inkspark.session import materialize
 
 HEAD_SHARE = 65_536
+#: Ids travel as 16-bit values; GAP stands where a rare piece belongs.
+GAP = 65_535
 
 # Fixed value: the pre-split pattern of the byte-level vocabularies, in Java's notation.
 SPLIT = (
@@ -37,20 +39,40 @@ def pieces_of(text: str):
     return F.coalesce(F.regexp_extract_all(F.col(text), F.lit(SPLIT), F.lit(0)), F.array().cast("array<string>"))
 
 
+def _counts(docs: DataFrame, text: str) -> DataFrame:
+    """piece and n of every distinct piece."""
+    return docs.select(F.explode(pieces_of(text)).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+
+
+def _encode(pieces: pa.Array, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids of pieces and their offsets."""
+    raw = pieces.cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+    return encode(np.frombuffer(raw.buffers()[2] or b"", np.uint8), offsets, merges)
+
+
+def _packed(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Lists of ids, given flat with offsets, as binary values of two bytes an id."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 2).astype(np.int32)), pa.py_buffer(ids.astype(np.uint16))])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The flat ids of packed values, and their offsets."""
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 2 if len(column) else np.zeros(1, np.int64)
+    ids = np.frombuffer(column.buffers()[2] or b"", np.uint16)[off[0] : off[-1]]
+    return ids.astype(np.int32), off - off[0]
+
+
 def piece_table(docs: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """piece, n (occurrences in docs) and ids of every distinct piece, each encoded once, as a written table."""
     merges = docs.sparkSession.sparkContext.broadcast(load_merges(vocabulary, folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = b.column(0).cast(pa.large_binary())
-            offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-            data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
-            ids, at = encode(data, offsets, merges.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(at.astype(np.int32), ids)], ["piece", "n", "ids"])
+            ids, at = _encode(b.column(0), merges.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], ["piece", "n", "ids"])
 
-    counted = docs.select(F.explode(pieces_of(text)).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
-    return materialize(counted.mapInArrow(run, "piece string, n long, ids array<int>"), "pieces")
+    return materialize(_counts(docs, text).mapInArrow(run, "piece string, n long, ids array<int>"), "pieces")
 
 
 def _head(table: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -68,9 +90,9 @@ def _lookup(w: pa.ListArray, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.
     return flat, offsets - offsets[0], place
 
 
-def _filler(doc_ids: pa.Array, pos: np.ndarray) -> pa.Array:
+def _filler(keys: pa.Array) -> pa.Array:
     """Join keys that no piece equals (a piece never mixes a control character with digits), spread evenly."""
-    return pc.binary_join_element_wise(pa.array(["\x00"] * len(pos)), doc_ids.cast(pa.string()), pa.array(pos).cast(pa.string()), ":")
+    return pc.binary_join_element_wise(pa.array(["\x00"] * len(keys), pa.string()), keys.cast(pa.string()), "")
 
 
 def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, table: DataFrame | None = None) -> DataFrame:
@@ -92,7 +114,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
             rare = np.flatnonzero(place < 0)
             owner = np.searchsorted(off, rare, "right") - 1
             n = pa.concat_arrays([pa.array(total[off[1:]] - total[off[:-1]], pa.int64()), pa.nulls(len(rare), pa.int64())])
-            piece = pa.concat_arrays([_filler(b.column(0), np.zeros(len(b), np.int64)), flat.take(pa.array(rare))])
+            piece = pa.concat_arrays([_filler(b.column(0)), flat.take(pa.array(rare))])
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(0), b.column(0).take(pa.array(owner))]), piece, n], ["key", "piece", "n"])
 
     parts = docs.select("key", pieces_of("text").alias("w")).mapInArrow(run, "key long, piece string, n long")
@@ -105,43 +127,70 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
     """key and ids (array<int>) of each row of docs, without special tokens; an empty list for null and empty texts.
 
     Rows with a null key are left out; give one row per key. Other columns of docs are not read.
+    Rare pieces travel to where equal pieces meet, sorted, and each is encoded once there; their ids then
+    join their document by position. Ids travel packed, two bytes each.
     """
     docs = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    table = piece_table(docs, "text", vocabulary, folder)
-    head = docs.sparkSession.sparkContext.broadcast(_head(table))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    context = docs.sparkSession.sparkContext
+    loaded = load_merges(vocabulary, folder)
+    if len(loaded.pieces) > GAP:
+        raise ValueError(f"{vocabulary} has more than {GAP} ids")
+    merges = context.broadcast(loaded)
+    counted = materialize(_counts(docs, "text"), "counts")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    common = [r.piece for r in counted.where(F.col("n") * HEAD_SHARE >= total).select("piece").collect()]
+    head = context.broadcast((common, *_encode(pa.array(common, pa.string()), loaded)))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, head_ids, head_at = head.value
-        words, sizes, first = pa.array(words, pa.string()), np.append(np.diff(head_at), 0), head_at
+        words, sizes = pa.array(words, pa.string()), np.append(np.diff(head_at), 1)
+        # A rare piece leaves one GAP in its document's row.
+        head_ids, first = np.append(head_ids, GAP), np.append(head_at[:-1], len(head_ids))
         for b in batches:
             flat, off, place = _lookup(b.column(1), words)
             size = sizes[place]
-            total = np.append(0, np.cumsum(size))
-            ids = head_ids[np.repeat(first[place] - total[:-1], size) + np.arange(total[-1])]
+            at = np.append(0, np.cumsum(size))
+            ids = head_ids[np.repeat(first[place] - at[:-1], size) + np.arange(at[-1])]
             rare = np.flatnonzero(place < 0)
-            begins = np.zeros(len(place) + 1, bool)
-            begins[off[:-1]] = begins[rare + 1] = True
-            start = np.flatnonzero(begins[:-1] & (place >= 0))
-            at = np.append(total[start], total[-1])
-            empty = np.flatnonzero(off[1:] == off[:-1])
-            owner = [np.searchsorted(off, x, "right") - 1 for x in (start, rare)]
-            pos = np.concatenate([start - off[owner[0]], np.zeros(len(empty), np.int64)])
-            runs = pa.ListArray.from_arrays(pa.array(np.append(at, np.full(len(empty), total[-1])), pa.int32()), pa.array(ids, pa.int32()))
-            keys = b.column(0).take(pa.array(np.concatenate([owner[0], empty])))
+            owner = np.searchsorted(off, rare, "right") - 1
+            runs = _packed(ids, at[off])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([keys, b.column(0).take(pa.array(owner[1]))]),
-                    pa.array(np.concatenate([pos, rare - off[owner[1]]]), pa.int32()),
-                    pa.concat_arrays([_filler(keys, pos), flat.take(pa.array(rare))]),
+                    pa.concat_arrays([b.column(0), b.column(0).take(pa.array(owner))]),
+                    pa.array(np.concatenate([np.full(len(b), -1), rare - off[owner]]), pa.int32()),
+                    pa.concat_arrays([_filler(b.column(0)), flat.take(pa.array(rare))]),
                     pa.concat_arrays([runs, pa.nulls(len(rare), runs.type)]),
                 ],
                 ["key", "pos", "piece", "run"],
             )
 
-    parts = docs.select("key", pieces_of("text").alias("w")).mapInArrow(run, "key long, pos int, piece string, run array<int>")
-    joined = parts.join(table.select("piece", "ids"), "piece", "left").select("key", "pos", F.coalesce("run", "ids").alias("ids"))
-    whole = joined.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    return whole.select(F.col("key").alias(key), F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            run, rare = b.column(3), pc.is_null(b.column(3))
+            codes = b.column(2).filter(rare).dictionary_encode()
+            ids, at = _encode(codes.dictionary, merges.value)
+            encoded = _packed(ids, at).take(codes.indices)
+            order = pa.concat_arrays([b.column(0).filter(pc.invert(rare)), b.column(0).filter(rare)])
+            pos = pa.concat_arrays([b.column(1).filter(pc.invert(rare)), b.column(1).filter(rare)])
+            yield pa.RecordBatch.from_arrays([order, pos, pa.concat_arrays([run.filter(pc.invert(rare)), encoded])], ["key", "pos", "ids"])
+
+    def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (ids, off), pieces = _unpacked(b.column(1)), b.column(2).flatten()
+            rare, rare_at = _unpacked(pieces)
+            gap, size = ids == GAP, np.ones(len(ids), np.int64)
+            size[gap] = np.diff(rare_at)
+            at = np.append(0, np.cumsum(size))
+            out, free = np.empty(at[-1], np.int32), np.ones(at[-1], bool)
+            out[at[:-1][~gap]], free[at[:-1][~gap]] = ids[~gap], False
+            out[free] = rare
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at[off], pa.int32()), pa.array(out))], ["key", "ids"])
+
+    parts = docs.select("key", pieces_of("text").alias("w")).mapInArrow(split, "key long, pos int, piece string, run binary")
+    filled = parts.repartition("piece").sortWithinPartitions("piece").mapInArrow(fill, "key long, pos int, ids binary")
+    whole = filled.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("p"))
+    whole = whole.select("key", F.col("p")[0]["ids"].alias("run"), F.transform(F.slice("p", 2, F.size("p")), lambda x: x["ids"]).alias("rare"))
+    return whole.mapInArrow(splice, "key long, ids array<int>").withColumnRenamed("key", key)
 
 
 def decode_corpus(encoded: DataFrame, key: str = "doc_id", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
