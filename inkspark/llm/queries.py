@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from inkspark.llm import neardup, packing, splitting, subjects, tokens
+from inkspark.llm import neardup, packing, personal, splitting, subjects, tokens
 
 QUERIES = {
     "p1_found": splitting.found,
     "p1_pieces": splitting.note_pieces,
+    "p2_found": personal.found,
+    "p2_redacted": personal.redacted,
     "p3_found": neardup.found,
     "p3_classes": neardup.classes,
     "p4_doc_tokens": tokens.document_tokens,
