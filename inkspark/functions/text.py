@@ -74,7 +74,8 @@ def grade_rank(graded: Column) -> Column:
 def confidence(reply: Column) -> Column:
     """The number of the last CONFIDENCE line within 0 and 1; 0.5 without one."""
     found = F.regexp_extract_all(reply, F.lit(r"(?im)^[ \t]*CONFIDENCE:[ \t]*(-?[0-9.]+)"), F.lit(1))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_element_at(found, F.lit(-1)).try_cast("double"))), F.lit(0.5))
+    said = F.coalesce(F.try_element_at(found, F.lit(-1)).try_cast("double"), F.lit(0.5))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), said))
 
 
 def gaps(reply: Column) -> Column:
@@ -86,7 +87,7 @@ def gaps(reply: Column) -> Column:
 
 def numbered_lines(reply: Column, most: int) -> Column:
     """Up to most lines that aren't blank, without a leading number such as 1. or 2)."""
-    lines = F.filter(F.transform(F.split(reply, r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(reply, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.slice(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"^\d+[.)]\s*", ""))), 1, most)
 
 
