@@ -51,6 +51,7 @@ def test_sections_skip_code(spark):
 
 def test_vector_top_k_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "BLOCK", 3)
+    monkeypatch.setattr(retrieval, "CORPUS_BLOCK", 11)
     v = np.random.default_rng(1).standard_normal((60, 8)).round(3)
     v[7] = v[9]
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)]
