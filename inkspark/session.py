@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application; they may not find it on their own path."""
+    context = spark.sparkContext
+    if getattr(context, "_inkspark_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="inkspark-")) / "inkspark"), "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    context._inkspark_shipped = True
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back.
 
