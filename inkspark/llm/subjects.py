@@ -28,7 +28,7 @@ VOCABULARY_SHARE, LEAST_DOCUMENTS = 2_000, 5
 #: Least cosine of a term to its centroid while refining, and when sentences are assigned.
 NEAR, ON = 0.4, 0.6
 #: A subject counts from this share of the sentences, and from two of them in a text of more than SHORT.
-SHARE, SHORT = 0.15, 6
+SHARE, SHORT = 0.15, 4
 #: Cells of a dense block of documents times terms.
 BLOCK = 3_000_000
 
