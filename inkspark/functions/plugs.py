@@ -34,15 +34,7 @@ def hashing_embedder(dimensions: int = 64) -> Callable[[Column], Column]:
                 out.append((v / (np.linalg.norm(v) or 1)).tolist())
             yield pd.Series(out)
 
-    def embed(text: Column) -> Column:
-        from pyspark.sql.functions import pandas_udf
-
-        def typed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            yield from run(parts)
-
-        return pandas_udf(typed, "array<double>")(T.terms(text))
-
-    return embed
+    return lambda text: F.pandas_udf(run, "array<double>")(T.terms(text))
 
 
 def embed_missing(rows: DataFrame, cache: DataFrame, text: str, embed: Callable[[Column], Column]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkspark.functions import text as T
 from inkspark.operators import chunking, conversations, ledger, retrieval, timestamps, vault
+from inkspark.plans.engine import contexts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {"p5_found": timestamps.found, "p5_formats": timestamps.formats}
@@ -331,6 +332,24 @@ def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rerank_by_overlap(_bm25(spark, sf_dir), title_queries(spark, sf_dir), corpus(spark, sf_dir), 10)
 
 
+@query(f"""with {BM25} select query_id, substring(string_agg('[' || rank || '] ' || text, chr(10) || chr(10) order by rank), 1, 8000) context
+    from hits join docs using (id) where rank <= 5 and text is not null group by 1""")
+def answer_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contexts(_bm25(spark, sf_dir).where("rank <= 5").join(corpus(spark, sf_dir), "id"))
+
+
+@query("select source_type, list_sort(list(distinct coalesce(source, 'Unknown'))) names from documents group by 1")
+def source_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("source_type").agg(F.array_sort(F.collect_set(F.coalesce("source", F.lit("Unknown")))).alias("names"))
+
+
+@query("""with k as (select sha256(text) text_key, max(length(text)) n from documents where text is not null group by 1)
+    select count(*) n_entries, sum(n)::bigint n_chars, round(sum(n) / 1048576.0::double, 2) mega from k""")
+def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "documents").where("text is not null").groupBy(T.cache_key(F.col("text")).alias("text_key")).agg(F.max(F.length("text")).alias("n"))
+    return keys.agg(F.count("*").alias("n_entries"), F.sum("n").alias("n_chars"), F.round(F.sum("n") / 1048576.0, 2).alias("mega"))
+
+
 METRICS = f"""{VECTORS}, rel as (select q.vec_id query_id, c.vec_id id from embeddings q join embeddings c using (label) where q.vec_id % 20 = 0),
     good as (select query_id, count(*) good, min(rank) best, sum(1 / log2(rank + 1)) dcg from vec join rel using (query_id, id) where rank <= 10 group by 1),
     n as (select query_id, count(*) n from rel group by 1),
