@@ -10,12 +10,12 @@ terms of an average document) times the rank.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,18 +52,47 @@ def _flat(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), off - off[0]
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """term and n_docs over docs (terms: array<string>), counted within batches first."""
+def _values(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """The flat four-byte values packed in binary rows, and where each row begins (with the end)."""
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
+    return np.frombuffer(column.buffers()[2] or b"", dtype)[off[0] : off[-1]], off - off[0]
+
+
+def _rows(values: np.ndarray, off: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def hashed_terms(docs: DataFrame) -> DataFrame:
+    """doc_id, lang and terms of docs (doc_id, lang, text): a 32-bit hash per term, 0 after every sentence that has a term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat, off = _flat(b.column(0))
+            flat, off = _flat(b.column(2))
             codes = flat.dictionary_encode()
-            size = len(codes.dictionary)
-            seen = np.unique(np.repeat(np.arange(len(b)), np.diff(off)) * max(size, 1) + codes.indices.to_numpy()) % max(size, 1)
-            yield pa.RecordBatch.from_arrays([codes.dictionary, pa.array(np.bincount(seen, minlength=size).astype(np.int64))], ["term", "n"])
+            words = codes.dictionary.to_numpy(zero_copy_only=False)
+            h = np.maximum(pd.util.hash_array(words, categorize=False) >> np.uint64(32), 1).astype(np.uint32) if len(words) else np.zeros(0, np.uint32)
+            h[words == "\n"] = 0
+            values = h[codes.indices.to_numpy()]
+            end, starts = values == 0, np.zeros(len(values) + 1, bool)
+            starts[off] = True
+            # A line end counts where a term stands right before it in the same document.
+            keep = ~end | (~np.append(True, end[:-1])[: len(end)] & ~starts[:-1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _rows(values[keep], np.append(0, np.cumsum(keep))[off])], ["doc_id", "lang", "terms"])
+
+    return docs.select("doc_id", "lang", terms_of("text").alias("w")).mapInArrow(run, "doc_id long, lang string, terms binary")
 
-    return docs.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
+
+def document_frequencies(hashed: DataFrame) -> DataFrame:
+    """term (hash) and n_docs, counted within batches first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, off = _values(b.column(0), np.uint32)
+            seen = np.unique(np.repeat(np.arange(len(b), dtype=np.uint64), np.diff(off)) << np.uint64(32) | values)
+            term, n = np.unique(seen & np.uint64(0xFFFFFFFF), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term[term > 0].astype(np.int64)), pa.array(n[term > 0].astype(np.int64))], ["term", "n"])
+
+    return hashed.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
 
 
 def _add_up(rows: DataFrame) -> DataFrame:
@@ -109,27 +138,19 @@ class Model:
     scores: np.ndarray
 
 
-def _packed_corpus(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """doc_id, lang and terms: vocabulary places as int32 bytes, -1 after every sentence that has a term, known or not."""
-    words = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _packed_corpus(hashed: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """doc_id, lang and terms: places in the sorted vocabulary as int32 bytes, -1 after every sentence."""
+    words = hashed.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = pa.array(["\n", *words.value], pa.string())
         for b in batches:
-            flat, off = _flat(b.column(2))
-            place = pc.fill_null(pc.index_in(flat, value_set=index), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            end = place == 0
-            # A line end counts where a term stands right before it in the same document.
-            starts = np.zeros(len(place) + 1, bool)
-            starts[off] = True
-            real = end & ~np.append(True, end[:-1])[: len(end)] & ~starts[:-1]
-            keep = (place > 0) | real
-            out = np.where(real, -1, place - 1)[keep].astype(np.int32)
-            at = np.append(0, np.cumsum(keep))[off] * 4
-            packed = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(out)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed], ["doc_id", "lang", "terms"])
+            values, off = _values(b.column(2), np.uint32)
+            place = np.minimum(np.searchsorted(words.value, values), len(words.value) - 1)
+            keep = (words.value[place] == values) | (values == 0)
+            out = np.where(values == 0, -1, place)[keep].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _rows(out, np.append(0, np.cumsum(keep))[off])], ["doc_id", "lang", "terms"])
 
-    return docs.mapInArrow(run, "doc_id long, lang string, terms binary")
+    return hashed.mapInArrow(run, "doc_id long, lang string, terms binary")
 
 
 def _times(corpus: DataFrame, blocks: Blocks, weights: dict[str, float], q: np.ndarray) -> np.ndarray:
@@ -222,21 +243,20 @@ def refine(terms: np.ndarray, sums: dict[str, np.ndarray], subjects: list[str])
 
 def fit(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple[DataFrame, Model]:
     """The packed corpus of docs (doc_id, lang, text) and the model fitted over all of it."""
-    terms = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", terms_of("text").alias("w"))
-    frequent = materialize(document_frequencies(terms.select("w")).where(F.col("n_docs") >= LEAST_DOCUMENTS), "frequencies")
-    n = docs.count()
-    rows = frequent.where((F.col("n_docs") * VOCABULARY_SHARE >= n) & (F.col("term") != "\n")).orderBy("term").collect()
-    vocabulary = [r.term for r in rows]
-    corpus = materialize(_packed_corpus(terms, vocabulary), "terms")
-    if not vocabulary:
-        return corpus, Model(subjects, np.zeros((0, len(subjects)), np.float32))
+    hashed = materialize(hashed_terms(docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())), "hashed")
+    n = hashed.count()
+    frequent = document_frequencies(hashed).where((F.col("n_docs") >= LEAST_DOCUMENTS) & (F.col("n_docs") * VOCABULARY_SHARE >= n))
+    rows = frequent.orderBy("term").collect()
+    if not rows:
+        return hashed.where("false"), Model(subjects, np.zeros((0, len(subjects)), np.float32))
+    corpus = materialize(_packed_corpus(hashed, np.array([r.term for r in rows], np.uint32)), "terms")
     by_lang = {r.lang: r["count"] for r in corpus.groupBy("lang").count().collect()}
     blocks = Blocks(np.log(n / np.array([r.n_docs for r in rows])).astype(np.float32) + 1e-3)
     known = [x for x in by_lang if x != "unknown"]
     # Small languages weigh as much as large ones, else the leading directions are those of the largest.
     weights = {x: (n / len(known) / by_lang[x]) ** 0.5 if x in known else 1.0 for x in by_lang}
-    rank = min(RANK, len(vocabulary))
-    q = np.linalg.qr(np.random.default_rng(0).standard_normal((len(vocabulary), rank)))[0]
+    rank = min(RANK, len(rows))
+    q = np.linalg.qr(np.random.default_rng(0).standard_normal((len(rows), rank)))[0]
     for i in range(PASSES):
         product = _times(corpus, blocks, weights, q)
         if i < PASSES - 1:
@@ -255,9 +275,7 @@ def subject_counts(corpus: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         names, k = pa.array(model.subjects, pa.string()), len(model.subjects)
         for b in batches:
-            off = np.frombuffer(b.column(1).buffers()[1], np.int32)[b.column(1).offset : b.column(1).offset + len(b) + 1].astype(np.int64) // 4
-            flat = np.frombuffer(b.column(1).buffers()[2] or b"", np.int32)[off[0] : off[-1]]
-            off = off - off[0]
+            flat, off = _values(b.column(1), np.int32)
             end = flat < 0
             doc = np.repeat(np.arange(len(b)), np.diff(off))
             sentence = np.cumsum(end) - end
