@@ -88,8 +88,9 @@ def document_frequencies(hashed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values, off = _values(b.column(0), np.uint32)
-            seen = np.unique(np.repeat(np.arange(len(b), dtype=np.uint64), np.diff(off)) << np.uint64(32) | values)
-            term, n = np.unique(seen & np.uint64(0xFFFFFFFF), return_counts=True)
+            seen = pd.unique(np.repeat(np.arange(len(b), dtype=np.uint64), np.diff(off)) << np.uint64(32) | values)
+            codes, term = pd.factorize(seen & np.uint64(0xFFFFFFFF))
+            n = np.bincount(codes, minlength=len(term))
             yield pa.RecordBatch.from_arrays([pa.array(term[term > 0].astype(np.int64)), pa.array(n[term > 0].astype(np.int64))], ["term", "n"])
 
     return hashed.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
@@ -123,11 +124,14 @@ class Blocks:
             flat = np.concatenate(part)
             row = np.repeat(np.arange(len(part)), [len(p) for p in part])
             known = flat >= 0
-            x = np.bincount(row[known] * len(self.idf) + flat[known], minlength=len(part) * len(self.idf)).reshape(len(part), -1).astype(np.float32)
-            x = np.log1p(x) * self.idf
-            norm = np.linalg.norm(x, axis=1)
-            x *= (weights[lo : lo + step] / np.where(norm > 0, norm, 1))[:, None].astype(np.float32)
-            yield slice(lo, lo + len(part)), x
+            counts = np.bincount(row[known] * len(self.idf) + flat[known], minlength=len(part) * len(self.idf))
+            cells = np.flatnonzero(counts)
+            doc, term = np.divmod(cells, len(self.idf))
+            value = np.log1p(counts[cells]) * self.idf[term]
+            norm = np.sqrt(np.bincount(doc, value**2, len(part)))
+            x = np.zeros(len(counts), np.float32)
+            x[cells] = value * (weights[lo : lo + step] / np.where(norm > 0, norm, 1))[doc]
+            yield slice(lo, lo + len(part)), x.reshape(len(part), -1)
 
 
 @dataclass(frozen=True)
