@@ -168,8 +168,9 @@ class Found:
 def near_duplicates(spark: SparkSession, sf_dir: str, kinds: tuple[Kind, ...] = KINDS, threshold: float = 0.6, recall: float = 0.99) -> Found:
     """Classes of equal unit sequences, and all pairs of classes with at least that Jaccard similarity, found with that recall.
 
-    Repeated rows of a key with the same text count once; a key with two texts is in two classes. Null
-    keys and texts, and texts too short, are in none. Copies cost one row each, whatever their number.
+    Repeated rows of a key with the same text count once; a key with several texts is in a class for each,
+    which are compared by its shortest. Null keys and texts, and texts too short, are in none. Copies
+    cost one row each, whatever their number.
     """
     signed = []
     for i, kind in enumerate(kinds):
@@ -197,7 +198,7 @@ def near_duplicates(spark: SparkSession, sf_dir: str, kinds: tuple[Kind, ...] =
         size = F.size("u") if kind.units == "words" else F.length("u")
         rows = rows.where(size >= max(kind.least, kind.shingle))
         sets.append(rows.select("cls", "rec_type", shingle_set("u", kind).alias("set")))
-    # A key with several texts gives a set for each; the class's own is the one its members share.
+    # A key with several texts gives a set for each; the smallest stands.
     sets = reduce(DataFrame.unionByName, sets).groupBy("cls").agg(F.min("rec_type").alias("rec_type"), F.min_by("set", F.size("set")).alias("set"))
     left = sets.select(F.col("cls").alias("cls_a"), "rec_type", F.col("set").alias("set_a"))
     right = sets.select(F.col("cls").alias("cls_b"), F.col("set").alias("set_b"))
