@@ -4,14 +4,15 @@ Broad patterns propose spans. Labelers look at a span's shape, at word lists and
 it, and vote for it, against it or not at all. Votes are counted by pattern over all records; on these
 counts, expectation-maximisation estimates how far each labeler can be trusted, and a logistic
 regression on the resulting probabilities is the span classifier. Given and family names that other
-spans support extend the word lists between two rounds. Accepted spans of a record that overlap
-compete, and what is left goes to the list of items and becomes placeholders.
+spans support extend the word lists between two rounds, and the texts are read again for names in lower
+case or in capitals that hold one of them. Accepted spans of a record that overlap compete, and what is
+left goes to the list of items and becomes placeholders.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -102,6 +103,12 @@ NAME = re.compile(
     rf"))(?=[{UP}])"
 )
 LOWER_NAME = re.compile(rf"(?:\[\[People/)?(?:(?i:{TITLES})\.? +)?((?:[^\W\d_{UP}]{{3,}}|[^\W\d_{UP}]\.)(?: [^\W\d_{UP}]\.)? [^\W\d_{UP}]{{4,}}(?:-[^\W\d_{UP}]{{3,}})?)(?![\w-])")
+#: Two words (or an initial and a word) all in lower case or all in capitals.
+ONE_CASE = re.compile(
+    rf"(?<![\w@'’-])(?=((?:[^\W\d_{UP}]{{3,}}|[^\W\d_{UP}]\.)(?: [^\W\d_{UP}]\.)? [^\W\d_{UP}]{{4,}}(?:-[^\W\d_{UP}]{{3,}})?"
+    rf"|(?:[{UP}]{{2,}}|[{UP}]\.)(?: [{UP}]\.)? [{UP}]{{3,}}(?:-[{UP}]{{3,}})?)(?![\w-]))"
+)
+ONE_CASE_WORD = re.compile(rf"[^\W\d_{UP}]{{3,}}|[{UP}]{{2,}}")
 BEFORE_TITLE = re.compile(rf"(?<!\w)(?i:{TITLES})\.? +$")
 PLAIN = re.compile(r"[\W_]+")
 
@@ -150,7 +157,18 @@ def spans(text: str, listed: set[str]) -> Iterator[tuple[int, int, int, tuple[in
             at = text.find(cue, at)
 
 
-def _name(text: str, a: int, b: int, span: str, names: set[str], lower: bool) -> Iterator[tuple[int, int, int, tuple[int, ...], str, str]]:
+def taught_spans(text: str, listed: set[str], given_known: Callable[[str], bool], family_known: Callable[[str], bool]) -> Iterator[tuple[int, int, int, tuple[int, ...], str, str]]:
+    """As spans, for the names in lower case, and those in capitals with an unlisted given name, of which a word is known."""
+    if not any(given_known(w) or family_known(w) for w in {w.lower() for w in ONE_CASE_WORD.findall(text)}):
+        return
+    for m in ONE_CASE.finditer(text):
+        words = m[1].lower().split(" ")
+        upper, given = m[1].isupper(), words[0].rstrip(".")
+        if (given_known(given) or family_known(words[-1].split("-")[0])) and not (upper and given in listed):
+            yield from _name(text, *m.span(1), m[1], listed, not upper, True)
+
+
+def _name(text: str, a: int, b: int, span: str, names: set[str], lower: bool, taught: bool = False) -> Iterator[tuple[int, int, int, tuple[int, ...], str, str]]:
     if "," in span:
         family, given = re.split(r", +", span, maxsplit=1)
         if family.upper() != family or len(family) < 3:
@@ -160,7 +178,7 @@ def _name(text: str, a: int, b: int, span: str, names: set[str], lower: bool) ->
         given, family = parts[0], parts[-1]
     given, upper, family = given.lower().rstrip("."), span.isupper(), family.lower()
     listed = given in names
-    if upper and not listed:
+    if upper and not listed and not taught:
         return
     if given in TITLE_WORDS or family in TITLE_WORDS:
         return
@@ -186,17 +204,20 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).where("rec_id is not null and content is not null")
 
 
-def propose(rows: DataFrame, given_names: DataFrame) -> DataFrame:
-    """All proposed spans: rec_type, rec_id, kind, start, end, item, votes, given, family; repeated rows give each once."""
-    listed = {r.g for r in given_names.select(F.lower("given_name").alias("g")).where("g is not null").distinct().collect()}
-    shared = rows.sparkSession.sparkContext.broadcast(listed)
+def listed_names(given_names: DataFrame) -> set[str]:
+    """The given names of the list, in lower case."""
+    return {r.g for r in given_names.select(F.lower("given_name").alias("g")).where("g is not null").distinct().collect()}
+
+
+def propose(rows: DataFrame, find: Callable[[str], Iterator[tuple]]) -> DataFrame:
+    """The spans that find gives for each text: rec_type, rec_id, kind, start, end, item, votes, given, family; repeated rows give each once."""
     names = ["rec_type", "rec_id", "kind", "start", "end", "item", "votes", "given", "family"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for kind_of, key, text in zip(*(c.to_pylist() for c in b.columns)):
-                for kind, x, y, votes, given, family in spans(text, shared.value):
+                for kind, x, y, votes, given, family in find(text):
                     out.append((kind_of, key, kind, x, y, PLAIN.sub("", text[x:y].lower()), "".join(map(str, votes)), given, family))
             if out:
                 types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.string()] * 4]
@@ -258,26 +279,47 @@ def _patterns(proposed: DataFrame) -> list[tuple[int, str, int]]:
     return [(r.kind, r.votes, r.n) for r in proposed.groupBy("kind", "votes").agg(F.count("*").alias("n")).orderBy("kind", "votes").collect()]
 
 
-def accept(proposed: DataFrame) -> DataFrame:
+def _first_look(spark: SparkSession, listed: set[str]) -> Callable[[str], Iterator[tuple]]:
+    shared = spark.sparkContext.broadcast(listed)
+    return lambda text: spans(text, shared.value)
+
+
+def _second_look(spark: SparkSession, listed: set[str], given: set[str], family: set[str]) -> Callable[[str], Iterator[tuple]]:
+    shared = spark.sparkContext.broadcast((listed, listed | given, family))
+    return lambda text: taught_spans(text, shared.value[0], shared.value[1].__contains__, shared.value[2].__contains__)
+
+
+def accept(proposed: DataFrame, rows: DataFrame, listed: set[str]) -> DataFrame:
     """The spans that the classifier accepts: rec_type, rec_id, and spans (p, length, kind, start, end, item) of each record.
 
     The classifier is fitted twice on the vote patterns of all spans, with a round that learns names
     between. Learned are given and family names with at least three supported spans, three quarters of
-    their spans, and one in 50,000 of all supported spans, hence at most 50,000 of each.
+    their spans, and one in 50,000 of all supported spans, hence at most 50,000 of each. The second fit
+    also has the names in one case that the learned and listed names bring out of the rows.
     """
     spark = proposed.sparkSession
     first = _classify(_patterns(proposed))
     good = [v for k, v, p in first if k == TYPES.index("name") and p > 0.5]
     is_name, lower = F.col("kind") == TYPES.index("name"), F.substring("votes", -1, 1) == "0"
-    names = proposed.where(is_name & ~lower).withColumn("good", F.col("votes").isin(good).cast("long"))
+    proposed = proposed.where(~(is_name & lower))  # those that stand a chance are found again below
+    names = proposed.where(is_name).withColumn("good", F.col("votes").isin(good).cast("long"))
     total = names.agg(F.sum("good")).first()[0] or 0
+    learned = {}
     for column in ("given", "family"):
         by = names.where(F.length(column) > 2).groupBy(column).agg(F.sum("good").alias("good"), F.count("*").alias("n"))
-        learned = by.where((F.col("good") >= 3) & (F.col("good") * 4 >= F.col("n") * 3) & (F.col("good") * 50_000 >= total))
-        proposed = proposed.join(F.broadcast(learned.select(column, F.lit("2").alias(f"{column}_vote"))), column, "left")
-    # In lower case, only what has a learned family name, or a learned given name and some word around it, is proposed at all.
-    cued = F.col("given_vote").isNotNull() & F.substring("votes", 2, 3).contains("2")
-    proposed = proposed.where(~(is_name & lower & F.col("family_vote").isNull() & ~cued))
+        by = by.where((F.col("good") >= 3) & (F.col("good") * 4 >= F.col("n") * 3) & (F.col("good") * 50_000 >= total))
+        learned[column] = materialize(by.select(column), f"learned-{column}")
+    again = propose(rows, _second_look(spark, listed, *({r[0] for r in x.collect()} for x in learned.values())))
+
+    def voted(found: DataFrame, given: DataFrame) -> DataFrame:
+        for column, known in (("given", given), ("family", learned["family"])):
+            found = found.join(F.broadcast(known.select(column, F.lit("2").alias(f"{column}_vote"))), column, "left")
+        return found
+
+    # In lower case, only what has a learned family name, or a known given name and some word around it, is proposed at all.
+    listed_too = learned["given"].unionByName(spark.createDataFrame([(x,) for x in sorted(listed)], "given string")).distinct()
+    cued = F.col("given_vote").isNotNull() & (~lower | F.substring("votes", 2, 3).contains("2"))
+    proposed = voted(proposed, learned["given"]).unionByName(voted(again, listed_too).where(F.col("family_vote").isNotNull() | cued))
     more = F.concat("votes", F.coalesce("given_vote", F.lit("1")), F.coalesce("family_vote", F.lit("1")))
     proposed = proposed.withColumn("votes", F.when(is_name, more).otherwise(F.col("votes"))).drop("given_vote", "family_vote")
     proposed = materialize(proposed, "spans")
@@ -330,8 +372,9 @@ def redact(rows: DataFrame, settled: DataFrame) -> DataFrame:
 
 def _find(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = records(spark, sf_dir)
-    proposed = materialize(propose(rows, spark.read.parquet(f"{sf_dir}/given_names.parquet")), "proposed")
-    return rows, _settled(accept(proposed))
+    listed = listed_names(spark.read.parquet(f"{sf_dir}/given_names.parquet"))
+    proposed = materialize(propose(rows, _first_look(spark, listed)), "proposed")
+    return rows, _settled(accept(proposed, rows, listed))
 
 
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
