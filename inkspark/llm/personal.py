@@ -12,6 +12,7 @@ left goes to the list of items and becomes placeholders.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 
 from inkspark.session import materialize
 
+#: Names with this share of the spans are looked up where the spans are.
+HOT = 50_000
+#: Bits, as a power of two, of the table that tells which words may be learned names (1 MB; exact joins follow).
+FILTER_BITS = 23
 TYPES = ("email", "phone", "id_number", "address", "name")
 
 # The words that labelers look for, by what they speak for.
@@ -284,18 +289,59 @@ def _first_look(spark: SparkSession, listed: set[str]) -> Callable[[str], Iterat
     return lambda text: spans(text, shared.value)
 
 
-def _second_look(spark: SparkSession, listed: set[str], given: set[str], family: set[str]) -> Callable[[str], Iterator[tuple]]:
-    shared = spark.sparkContext.broadcast((listed, listed | given, family))
-    return lambda text: taught_spans(text, shared.value[0], shared.value[1].__contains__, shared.value[2].__contains__)
+def filter_of(names: DataFrame) -> np.ndarray:
+    """A bit for the checksum of each name in the only column, cut to FILTER_BITS: of fixed size, however many there are."""
+    at = F.crc32(names.columns[0]) % (1 << FILTER_BITS)
+    words = names.select(F.floor(at / 32).alias("word"), (at % 32).cast("int").alias("bit"))
+    out = np.zeros(1 << FILTER_BITS - 5, np.uint32)
+    for r in words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).collect():
+        out[r.word] = r.bits
+    return out
+
+
+def _second_look(spark: SparkSession, listed: set[str], given: np.ndarray, family: np.ndarray) -> Callable[[str], Iterator[tuple]]:
+    shared = spark.sparkContext.broadcast((listed, given, family))
+
+    def known(word: str, bits: np.ndarray) -> bool:
+        at = zlib.crc32(word.encode()) % (1 << FILTER_BITS)
+        return bool(int(bits[at >> 5]) >> (at & 31) & 1)
+
+    def find(text: str) -> Iterator[tuple]:
+        listed, given, family = shared.value
+        return taught_spans(text, listed, lambda w: w in listed or known(w, given), lambda w: known(w, family))
+
+    return find
+
+
+def learn(names: DataFrame, column: str) -> DataFrame:
+    """The names in that column with at least three supported (good) spans and three quarters of their spans."""
+    by = names.where(F.length(column) > 2).groupBy(column).agg(F.sum("good").alias("good"), F.count("*").alias("n"))
+    return by.where((F.col("good") >= 3) & (F.col("good") * 4 >= F.col("n") * 3)).select(column)
+
+
+def voted(found: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """found with column_vote, 2 where column is one of known, else null.
+
+    Names with one in HOT of the spans, which are at most HOT, are looked up in a broadcast table. Only
+    spans with another name are matched by a shuffle.
+    """
+    vote, asks = f"{column}_vote", F.length(column) > 2
+    counts = found.where(asks).groupBy(column).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") * HOT >= total).select(column)
+    hot = hot.join(known.withColumn(vote, F.lit("2")), column, "left").select(column, vote, F.lit(True).alias("hot"))
+    found = materialize(found.join(F.broadcast(hot), column, "left"), f"hot-{column}")
+    rare = asks & F.col("hot").isNull()
+    rest = found.where(rare).drop(vote).join(known.withColumn(vote, F.lit("2")), column, "left")
+    return found.where(~rare).unionByName(rest).drop("hot")
 
 
 def accept(proposed: DataFrame, rows: DataFrame, listed: set[str]) -> DataFrame:
     """The spans that the classifier accepts: rec_type, rec_id, and spans (p, length, kind, start, end, item) of each record.
 
     The classifier is fitted twice on the vote patterns of all spans, with a round that learns names
-    between. Learned are given and family names with at least three supported spans, three quarters of
-    their spans, and one in 50,000 of all supported spans, hence at most 50,000 of each. The second fit
-    also has the names in one case that the learned and listed names bring out of the rows.
+    between (see learn), however many there are. The second fit also has the names in one case that the
+    learned and listed names bring out of the rows.
     """
     spark = proposed.sparkSession
     first = _classify(_patterns(proposed))
@@ -303,23 +349,14 @@ def accept(proposed: DataFrame, rows: DataFrame, listed: set[str]) -> DataFrame:
     is_name, lower = F.col("kind") == TYPES.index("name"), F.substring("votes", -1, 1) == "0"
     proposed = proposed.where(~(is_name & lower))  # those that stand a chance are found again below
     names = proposed.where(is_name).withColumn("good", F.col("votes").isin(good).cast("long"))
-    total = names.agg(F.sum("good")).first()[0] or 0
-    learned = {}
-    for column in ("given", "family"):
-        by = names.where(F.length(column) > 2).groupBy(column).agg(F.sum("good").alias("good"), F.count("*").alias("n"))
-        by = by.where((F.col("good") >= 3) & (F.col("good") * 4 >= F.col("n") * 3) & (F.col("good") * 50_000 >= total))
-        learned[column] = materialize(by.select(column), f"learned-{column}")
-    again = propose(rows, _second_look(spark, listed, *({r[0] for r in x.collect()} for x in learned.values())))
-
-    def voted(found: DataFrame, given: DataFrame) -> DataFrame:
-        for column, known in (("given", given), ("family", learned["family"])):
-            found = found.join(F.broadcast(known.select(column, F.lit("2").alias(f"{column}_vote"))), column, "left")
-        return found
+    given, family = (materialize(learn(names, c), f"learned-{c}") for c in ("given", "family"))
+    again = materialize(propose(rows, _second_look(spark, listed, filter_of(given), filter_of(family))), "again")
 
     # In lower case, only what has a learned family name, or a known given name and some word around it, is proposed at all.
-    listed_too = learned["given"].unionByName(spark.createDataFrame([(x,) for x in sorted(listed)], "given string")).distinct()
+    listed_too = given.unionByName(spark.createDataFrame([(x,) for x in sorted(listed)], "given string")).distinct()
+    again = voted(voted(again, listed_too, "given"), family, "family")
     cued = F.col("given_vote").isNotNull() & (~lower | F.substring("votes", 2, 3).contains("2"))
-    proposed = voted(proposed, learned["given"]).unionByName(voted(again, listed_too).where(F.col("family_vote").isNotNull() | cued))
+    proposed = voted(voted(proposed, given, "given"), family, "family").unionByName(again.where(F.col("family_vote").isNotNull() | cued))
     more = F.concat("votes", F.coalesce("given_vote", F.lit("1")), F.coalesce("family_vote", F.lit("1")))
     proposed = proposed.withColumn("votes", F.when(is_name, more).otherwise(F.col("votes"))).drop("given_vote", "family_vote")
     proposed = materialize(proposed, "spans")

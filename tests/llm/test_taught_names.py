@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from inkspark.llm import personal
 
 FAMILIES = ("Fenby", "Ockmoor", "Tarnley", "Wexcroft", "Halworth")
@@ -17,3 +19,32 @@ def test_learned_names_are_looked_for_in_one_case(spark, tmp_path):
     got = items_of(spark, tmp_path, [*lines, *cases, "They met later, plain words here. NOTE THAT and so on."])
     assert {(len(lines) + i, x) for i, x in enumerate(cases.values())} <= got
     assert {x for i, x in got if i >= len(lines)} == set(cases.values())
+
+
+def test_rare_names_are_learned_on_large_input(spark):
+    def span(i, votes, given, family):
+        return F.lit("note").alias("rec_type"), i.cast("long").alias("rec_id"), F.lit(4).alias("kind"), F.lit(0).alias("start"), F.lit(9).alias("end"), F.lit(given + family).alias("item"), F.lit(votes).alias("votes"), F.lit(given).alias("given"), F.lit(family).alias("family")
+
+    many = spark.range(200_000).select(*span(F.col("id"), "2221111", "linus", "fenby"))
+    mixed = spark.range(20).select(*span(300_000 + F.col("id"), "1221111", "hauke", "fenby")).union(spark.range(400).select(*span(400_000 + F.col("id"), "0010101", "open", "questions")))
+    rare = spark.range(3).select(*span(500_000 + F.col("id"), "2221111", "linus", "drystone"))
+    rows = spark.createDataFrame([("note", 600_000, "Reviewed by yorrik drystone wrote.")], "rec_type string, rec_id long, content string")
+    got = personal.accept(many.union(mixed).union(rare), rows, {"linus"}).where("rec_id = 600000").collect()
+    assert [s.item for r in got for s in r.spans] == ["yorrikdrystone"]
+
+
+def test_filter_has_every_name(spark):
+    names = ["fenby", "møller", "a" * 300, *(f"name{i}" for i in range(5000))]
+    bits = personal.filter_of(spark.createDataFrame([(x,) for x in names], "given string"))
+    look = personal._second_look(spark, set(), bits, bits)
+    assert all(len(list(look(f"x {n} drystone"))) == 1 for n in ("fenby", "møller")) and not list(look("x plain drystone"))
+    assert 5000 <= sum(int(x).bit_count() for x in bits) <= 5003
+
+
+def test_votes_are_the_same_in_both_joins(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"name{i % 50}" if i % 3 else "") for i in range(600)], "id long, given string")
+    known = spark.createDataFrame([(f"name{i}",) for i in range(0, 50, 2)], "given string")
+    for hot in (50_000, 0, 50):
+        monkeypatch.setattr(personal, "HOT", hot)
+        got = personal.voted(rows, known, "given").collect()
+        assert sorted((r.id, r.given_vote) for r in got) == [(i, "2" if i % 3 and i % 50 % 2 == 0 else None) for i in range(600)]
