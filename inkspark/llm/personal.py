@@ -316,7 +316,13 @@ def _second_look(spark: SparkSession, listed: set[str], given: np.ndarray, famil
 def learn(names: DataFrame, column: str) -> DataFrame:
     """The names in that column with at least three supported (good) spans and three quarters of their spans."""
     by = names.where(F.length(column) > 2).groupBy(column).agg(F.sum("good").alias("good"), F.count("*").alias("n"))
-    return by.where((F.col("good") >= 3) & (F.col("good") * 4 >= F.col("n") * 3)).select(column)
+    return by.where((F.col("good") >= 3) & (F.col("good") * 4 >= F.col("n") * 3)).select(column, "good")
+
+
+def rather_names(learned: DataFrame, again: DataFrame, column: str) -> DataFrame:
+    """The learned names that aren't ordinary words: those with no more spans in one case than supported ones."""
+    seen = again.groupBy(column).agg(F.count("*").alias("n"))
+    return learned.join(seen, column, "left").where(F.coalesce("n", F.lit(0)) <= F.col("good")).select(column)
 
 
 def voted(found: DataFrame, known: DataFrame, column: str) -> DataFrame:
@@ -350,13 +356,17 @@ def accept(proposed: DataFrame, rows: DataFrame, listed: set[str]) -> DataFrame:
     proposed = proposed.where(~(is_name & lower))  # those that stand a chance are found again below
     names = proposed.where(is_name).withColumn("good", F.col("votes").isin(good).cast("long"))
     given, family = (materialize(learn(names, c), f"learned-{c}") for c in ("given", "family"))
-    again = materialize(propose(rows, _second_look(spark, listed, filter_of(given), filter_of(family))), "again")
+    again = materialize(propose(rows, _second_look(spark, listed, filter_of(given.select("given")), filter_of(family.select("family")))), "again")
+
+    surely = {c: materialize(rather_names(x, again, c), f"surely-{c}") for c, x in (("given", given), ("family", family))}
+    given, family = given.select("given"), family.select("family")
 
-    # In lower case, only what has a learned family name, or a known given name and some word around it, is proposed at all.
-    listed_too = given.unionByName(spark.createDataFrame([(x,) for x in sorted(listed)], "given string")).distinct()
-    again = voted(voted(again, listed_too, "given"), family, "family")
-    cued = F.col("given_vote").isNotNull() & (~lower | F.substring("votes", 2, 3).contains("2"))
-    proposed = voted(voted(proposed, given, "given"), family, "family").unionByName(again.where(F.col("family_vote").isNotNull() | cued))
+    # In one case, only what has two known names, or one and some word around it, is proposed at all.
+    listed_too = surely["given"].unionByName(spark.createDataFrame([(x,) for x in sorted(listed)], "given string")).distinct()
+    again = voted(voted(again, listed_too, "given"), surely["family"], "family")
+    cued = F.substring("votes", 2, 3).contains("2")
+    one, two = (F.col(f"{c}_vote").isNotNull() for c in ("given", "family"))
+    proposed = voted(voted(proposed, given, "given"), family, "family").unionByName(again.where((one & two) | ((one | two) & cued)))
     more = F.concat("votes", F.coalesce("given_vote", F.lit("1")), F.coalesce("family_vote", F.lit("1")))
     proposed = proposed.withColumn("votes", F.when(is_name, more).otherwise(F.col("votes"))).drop("given_vote", "family_vote")
     proposed = materialize(proposed, "spans")

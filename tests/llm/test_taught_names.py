@@ -48,3 +48,9 @@ def test_votes_are_the_same_in_both_joins(spark, monkeypatch):
         monkeypatch.setattr(personal, "HOT", hot)
         got = personal.voted(rows, known, "given").collect()
         assert sorted((r.id, r.given_vote) for r in got) == [(i, "2" if i % 3 and i % 50 % 2 == 0 else None) for i in range(600)]
+
+
+def test_ordinary_words_arent_names_in_one_case(spark, tmp_path):
+    lines = [f"Spoke with {g} {f} about plans. Call 07700 900832 and ask for {g} {f}." for g in ("Linus", "Una", "Maud") for f in (*FAMILIES, "Para")] * 3
+    words = [f"Monday carpeta para todos, visita para {i}. Met folder para him." for i in range(100)]
+    assert not [x for i, x in items_of(spark, tmp_path, [*lines, *words]) if i >= len(lines)]
