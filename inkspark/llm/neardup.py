@@ -234,14 +234,41 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs_of(near_duplicates(spark, sf_dir))
 
 
+def components(links: DataFrame) -> DataFrame:
+    """member, group (the smallest connected member) of all that links (a, b) connect.
+
+    Large stars and small stars in turn: each node's larger neighbours, then its smaller ones, are linked
+    to its smallest, until nothing changes. Every round is written, so lineage stays short.
+    """
+    edges, before = links.select("a", "b").where("a != b"), None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a > b").distinct()
+        large = materialize(large, "large-stars")
+        least = large.groupBy("a").agg(F.min("b").alias("least"))
+        small = large.join(least, "a").where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        edges = materialize(small.unionByName(least.select("a", F.col("least").alias("b"))).distinct(), "small-stars")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            return edges.select(F.col("a").alias("member"), F.col("b").alias("group")).unionByName(edges.select(F.col("b").alias("member"), F.col("b").alias("group")).distinct())
+        before = now
+
+
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p3_classes: every record that counts with its class (its smallest id) and the class's number of links.
+    """p3_classes: every record that counts with its class, the class's number of links, and its group.
 
-    Shingles of five words (titles: five characters) and a similarity of at least 0.8.
+    A class has the records with one sequence of units, and class_id is its smallest id. group_id is the
+    smallest id of all records that links connect, directly or through others. Shingles of five words
+    (titles: five characters) and a similarity of at least 0.8.
     """
     kinds = tuple(Kind(k.name, k.table, k.key, k.text, k.units, k.least, 20, 5) for k in KINDS)
     result = near_duplicates(spark, sf_dir, kinds, 0.8)
-    ends = result.links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    links = materialize(result.links.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")), "links")
+    ends = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     named = result.members.groupBy("rec_type", "cls").agg(F.min("id").alias("class_id"))
-    out = result.members.join(named, ["rec_type", "cls"]).join(ends, "cls", "left")
-    return out.select("rec_type", F.col("id").alias("rec_id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = named.join(ends, "cls", "left").join(components(links).withColumnRenamed("member", "cls"), "cls", "left")
+    named = named.withColumn("group", F.coalesce("group", "cls"))
+    groups = named.groupBy("rec_type", "group").agg(F.min("class_id").alias("group_id"))
+    out = result.members.join(named.join(groups, ["rec_type", "group"]), ["rec_type", "cls"])
+    return out.select("rec_type", F.col("id").alias("rec_id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "group_id")
