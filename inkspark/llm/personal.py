@@ -1,16 +1,21 @@
 """Personal information in free text (problem 2), by weak supervision.
 
 Broad patterns propose spans. Labelers look at a span's shape, at word lists and at the words around
-it, and vote for it, against it or not at all. Votes are counted by pattern over all records; on these
-counts, expectation-maximisation estimates how far each labeler can be trusted, and a logistic
-regression on the resulting probabilities is the span classifier. Given and family names that other
-spans support extend the word lists between two rounds, and the texts are read again for names in lower
-case or in capitals that hold one of them. Accepted spans of a record that overlap compete, and what is
-left goes to the list of items and becomes placeholders.
+it, and vote for it, against it or not at all. What labelers know of names is learned from the corpus:
+words that stand beside many different listed names are cues, and given and family names are those that
+stand beside cues and with several different partners. Votes are counted by pattern over all records; on
+these counts, expectation-maximisation estimates how far each labeler can be trusted, and a logistic
+regression on the resulting probabilities is the span classifier. The texts are read a second time for
+names in lower case or in capitals that hold a known name. Accepted spans of a record that overlap
+compete, and what is left goes to the list of items and becomes placeholders.
+
+Evidence is counted over distinct surroundings, and what is learned hangs on bounds of shares and on
+how evenly partners are spread, so that copies of the records change nothing.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -18,7 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspark.session import materialize
@@ -37,34 +42,28 @@ TITLE_WORDS = set("mr mrs ms miss dr prof herr frau mme mlle madame monsieur sr
 PHONE_CUE = re.compile(
     r"(?i)(?:\b(?:call|ring|phone|mobile|number is|line|fax|reach|dial|telefon|anrufen|rückruf|handy|appeler|téléphone|llamar|teléfono|móvil|text)\b|\btel\b|\btél\b|电话|手机)"
 )
-EMAIL_CUE = re.compile(r"(?i)(?:mailto:|<|ping me|mail|send it|from:|cc |contact|kontakt|reachable|erreichbar|joignable|escribe|écris|correo|login|联系|\|)[^\n]{0,24}$")
+EMAIL_CUE = re.compile(r"(?i)(?:mailto:|<|mail|send|from:|\bcc |contact|kontakt|reachable|erreichbar|joignable|escribe|écris|correo|login|联系|\|)[^\n]{0,24}$")
 PHONE_NEXT = re.compile(r"(?i)(?:@|[\])] |\bat\b|\bdot\b)[^\n]{0,30}[,/|] ?(?:tel:)?$")
-PHONE_AFTER = re.compile(r"(?i)^[ ,)]*(?:ext\b|before noon|anrufen|erbeten|et demander|y preguntar|, ?office)")
+PHONE_AFTER = re.compile(r"(?i)^[ ,)]*(?:ext\b|anrufen|, ?office)")
 OTHER_NUMBER = re.compile(r"(?i)(?:hash|order|isbn|coordinates|\bref|build|serial|\bsn\b|commit|version|ticket|invoice|addr|issue|sku|batch|\bpr\b|#)[^\n]{0,22}$")
 ID_CUE = re.compile(
     r"(?i)(?:\bssn\b|\bsocial\b|social security|insurance|tax id|\btin\b|\bni number|\bnino\b|passport|reisepass|\bpass-?nr|ausweis|idnr|steuer-?(?:id|nr|nummer)|sozialversicherung|\bsvnr"
     r"|\bnie\b|\bdni\b|\bnif\b|pasaporte|seguridad social|s[ée]cu|passeport|carte d.identité|\bcni\b|national id|identity|\bid(?: no| number|-nr)|身份证|护照|社保|税号)[^\w\n]{0,3}(?:no|nr|n°|number|num|号|号码|是|为|ist|est|es)?[^\w\n]{0,4}$"
 )
-NAME_BEFORE = re.compile(
-    r"(?i)(?:\b(?:spoke with|lunch with|ask for|signed,?|reviewed by|paid by|written by|met|according to|from:|i'm|i am|name is|letter to|dear|hi|hello|hallo|regards,?|thanks,?|contact|attn|laut|termin bei"
-    r"|grüße,?|gruß,?|parlé avec|selon|demander|cordialement,?|según|saludos,?|preguntar por|hablé con|monday|tuesday|wednesday|thursday|friday|saturday|sunday)[:,]?|w/|请问|\w\d*\w? of|@[\w.-]+>?[;,]|\|)[ ]*(?:\[\[)?(?:people/)?$|people/$"
-)
-#: Where names in lower case are looked for.
-LOWER_CUES = (
-    "ask for ", "poke with ", "igned, ", "viewed by ", "unch w/ ", "Met ", "ccording to ", "From: ", "I'm ", "Mit ", " mit ", "aut ", "nach ", "ermin bei ", "elon ", "avec ", "emander ", "ordialement, ", "egún ", " con ",
-    "untar por ", "aludos, ", "aid by ", "etter to ", "rüße, ", " of ", "请问 ", "day ", "; ", "| ", "- ", "\n",
+#: What follows a name in lists of contacts: a number, an address or a mail address.
+CONTACT_AFTER = re.compile(
+    r"(?:\]\])?(?: ?\| ?(?:tel:)?[+(]?\d[\d ().-]{6,}| ?\| ?<|[ ]?<?[\w.+-]+ ?(?:@|[\[(] ?at ?[\])]| AT )|(?: ?\||,|[ ]*\r?\n) ?(?i:flat |apt )?\d+\w?,? (?:\S+ ){1,3}?(?i:street|st|road|rd|lane|ave|avenue|drive|close|way|terrace|court|crescent|place)\b"
+    r"|(?: ?\||,|[ ]*\r?\n) ?(?:\d+\w?,? (?i:rue|avenue|allée) |\w+(?i:straße|str\.|weg|gasse|platz|allee) \d|(?i:calle|avenida|c/) ))"
 )
-NAME_AFTER = re.compile(
-    r"(?i)(?:\]\])?(?: (?:moved to|wrote|and talked|and my|tmrw|knows the rest|about \w+, reachable|wohnt jetzt|fragen\b|über \w+ gesprochen|habite maintenant|de \w+, joignable|vive ahora|sobre \w+, escribe|关于)"
-    r"| ?\| ?(?:tel:)?[+(]?\d[\d ().-]{6,}| ?\| ?(?:<|flat)|[ ]?<?[\w.+-]+ ?(?:@|[\[(]at|AT )|, (?:\d+\w? |flat |\w+(?:straße|str\.|weg|gasse|platz|allee) )|[ ]*\r?\n(?:(?:flat \d+, )?\d+\w?,? (?:\S+ ){1,3}?(?:street|st|road|rd|lane|ave|avenue|drive|close|way|terrace|court|crescent|place)\b|\d+\w?,? (?:rue|avenue|allée) |\w+(?:straße|str\.|weg|gasse|platz|allee) \d|(?:calle|avenida|c/) ))"
+#: Salutations, signatures and the like; other cue words are learned.
+NAME_BEFORE = re.compile(
+    r"(?i)\b(?:dear|hi|hello|hallo|liebe|lieber|estimad[oa]|querid[oa]|regards|sincerely|thanks|signed|grüße|gruß|cordialement|saludos|from:|attn|contact|i'm|i am|name is|ich bin|je suis|soy|written by|reviewed by|spoke with|met)[,:]?[ ]+$"
 )
-NOT_NAME_BEFORE = re.compile(r"(?:\b(?:[Tt]he|[Aa]|[Aa]n|[Pp]roject|[Pp]ort|[Cc]astle|[Ll]ake|[Mm]ount|[Ss]aint|[Dd]er|[Dd]ie|[Dd]as|[Ll]e|[Ll]a|[Ee]l|[Uu]ne?)[ ]|(?:^|\n)#{1,6}[ ]|\|---|\d[ ])$")
-NOT_NAME_AFTER = re.compile(r"^(?: (?:plan|route|section|discussion|garden|proposal|scheme|on May)\b|\s*\|\s*n\s*\|)")
+HEADING = re.compile(r"(?:^|\n)#{1,6}[ ]$|\|---$")
 NOT_NAME_WORDS = set(
-    "the a an project port castle lake mount flat calle avenida rue avenue street st road rd lane drive close way terrace crescent court square monday tuesday wednesday thursday friday saturday sunday january february march"
-    " april june july august september october november december who what which when why how where nobody both half once since remember note rule see start between another here let thanks order build hash ref isbn serial"
-    " garden proposal scheme discussion people todo open questions next steps background summary field report loose ends user assistant messages from signed met spoke reviewed according cc mit laut selon según call my form invoice"
-    " please deliver parcel can you i'm bitte rückruf termin viele appeler parlé hablé llamar cordialement saludos kontakt correo".split()
+    "the a an of in on at by to for with from is are was and or but not no that this it its we they who what which when why how where if so as both half once since before another here let see start"
+    " der die das den dem ein eine einen und oder ohne mit bei zu von für auf wer was wie warum le la les un une des du de et ou sans avec pour qui que pourquoi el los las una unos y o sin con para quién qué"
+    " monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december street st road rd lane drive close way terrace crescent court square avenue ave flat calle avenida rue".split()
 )
 STREET_WORDS = (" Street", " St", " Road", " Rd", " Lane", " Ln", " Avenue", " Ave", " Drive", " Close", " Way", " Terrace", " Court", " Cres", " Gardens", " Row", " Square", " Sq", " Place", " Hill", " Walk", " Mews", " Grove")
 STREETS = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Close|Way|Terrace|Court|Crescent|Cres|Gardens|Row|Square|Sq|Place|Hill|Walk|Mews|Grove)"
@@ -107,7 +106,6 @@ NAME = re.compile(
     rf"|[{UP}]{{2,}} [{UP}]{{3,}}(?:-[{UP}]{{3,}})?"
     rf"))(?=[{UP}])"
 )
-LOWER_NAME = re.compile(rf"(?:\[\[People/)?(?:(?i:{TITLES})\.? +)?((?:[^\W\d_{UP}]{{3,}}|[^\W\d_{UP}]\.)(?: [^\W\d_{UP}]\.)? [^\W\d_{UP}]{{4,}}(?:-[^\W\d_{UP}]{{3,}})?)(?![\w-])")
 #: Two words (or an initial and a word) all in lower case or all in capitals.
 ONE_CASE = re.compile(
     rf"(?<![\w@'’-])(?=((?:[^\W\d_{UP}]{{3,}}|[^\W\d_{UP}]\.)(?: [^\W\d_{UP}]\.)? [^\W\d_{UP}]{{4,}}(?:-[^\W\d_{UP}]{{3,}})?"
@@ -116,20 +114,22 @@ ONE_CASE = re.compile(
 ONE_CASE_WORD = re.compile(rf"[^\W\d_{UP}]{{3,}}|[{UP}]{{2,}}")
 BEFORE_TITLE = re.compile(rf"(?<!\w)(?i:{TITLES})\.? +$")
 PLAIN = re.compile(r"[\W_]+")
+TOKEN = re.compile(r"\w+|[^\w\s]|\n")
+DIGIT = re.compile(r"\d")
 
 
 def _vote(yes: object, no: object = False) -> int:
     return 2 if yes else 0 if no else 1
 
 
-def spans(text: str, listed: set[str]) -> Iterator[tuple[int, int, int, tuple[int, ...], str, str]]:
-    """Type, start, end, votes (0 against, 1 none, 2 for), given and family name of all proposed spans; listed: given names in lower case."""
+def spans(text: str, listed: set[str]) -> Iterator[tuple]:
+    """Type, start, end, votes (0 against, 1 none, 2 for), and for names given, family and what is beside them, of all proposed spans; listed: given names in lower case."""
     if "@" in text or "at]" in text or "at)" in text or " AT " in text or " dot " in text:
         for m in EMAIL.finditer(text):
             top = re.split(r"[^\w]+", m[0].rstrip())[-1]
             a, b = m.span()
             votes = _vote(top.isalpha() and len(top) > 1, any(c.isdigit() for c in top)), _vote("@" in m[0] and " " not in m[0]), _vote(EMAIL_CUE.search(text[max(0, a - 40) : a])), _vote("@" not in m[0])
-            yield 0, a, b, votes, "", ""
+            yield 0, a, b, votes, "", "", "", "", 0
     for zone in ZONE.finditer(text):
         lo, hi = max(0, zone.start() - 5), min(len(text), zone.end() + 3)
         for m in PHONE.finditer(text, lo, hi):
@@ -137,43 +137,44 @@ def spans(text: str, listed: set[str]) -> Iterator[tuple[int, int, int, tuple[in
             left, right = text[max(0, a - 36) : a].rpartition("\n")[2], text[b : b + 24]
             n = sum(c.isdigit() for c in m[0])
             cue = PHONE_CUE.search(left[-26:]) or PHONE_AFTER.match(right) or left.endswith(("tel:", "/ ", "| ")) or PHONE_NEXT.search(left)
-            yield 1, a, b, (_vote(n in (10, 11, 12, 13)), _vote(cue, not cue), _vote(False, OTHER_NUMBER.search(left) or ID_CUE.search(left)), _vote(m[0][0] == "+", n < 10)), "", ""
+            yield 1, a, b, (_vote(n in (10, 11, 12, 13)), _vote(cue, not cue), _vote(False, OTHER_NUMBER.search(left) or ID_CUE.search(left)), _vote(m[0][0] == "+", n < 10)), "", "", "", "", 0
         for m in ID.finditer(text, lo, hi):
             a, b = m.span()
             left = text[max(0, a - 34) : a].rpartition("\n")[2]
             cue = ID_CUE.search(left)
-            yield 2, a, b, (_vote(cue, not cue), _vote(False, OTHER_NUMBER.search(left) and not cue), _vote(any(c.isalpha() for c in m[0])), _vote(False, PHONE_CUE.search(left))), "", ""
+            yield 2, a, b, (_vote(cue, not cue), _vote(False, OTHER_NUMBER.search(left) and not cue), _vote(any(c.isalpha() for c in m[0])), _vote(False, PHONE_CUE.search(left))), "", "", "", "", 0
     for marks, pattern in ADDRESSES:
         if any(x in text for x in marks):
             for m in pattern.finditer(text):
                 a, b = m.span()
                 follows = re.match(r"(?:,? (?:\d{5}|[A-Z]{1,2}\d)|, [A-ZÀ-Þ]|[.;,|\n\r。 ]|$)", text[b : b + 10])
                 votes = _vote(ADDRESS_CUE.search(text[max(0, a - 40) : a])), _vote(follows, True), _vote(not re.match(r" (?:route|failures|stops)\b", text[b : b + 10]), True), _vote(True)
-                yield 3, a, b, votes, "", ""
+                yield 3, a, b, votes, "", "", "", "", 0
     for m in NAME.finditer(text):
-        yield from _name(text, *m.span(1), m[1], listed, False)
-    for cue in LOWER_CUES:
-        at = text.find(cue)
-        while at >= 0:
-            at += len(cue)
-            m = LOWER_NAME.match(text, at) if at < len(text) and (text[at].islower() or text[at] in "[MDPFHS") else None
-            if m and (m.start(1) > at or m[1].split(" ", 1)[0] in listed or NAME_AFTER.match(text, m.end(1))):
-                yield from _name(text, *m.span(1), m[1], listed, True)
-            at = text.find(cue, at)
-
-
-def taught_spans(text: str, listed: set[str], given_known: Callable[[str], bool], family_known: Callable[[str], bool]) -> Iterator[tuple[int, int, int, tuple[int, ...], str, str]]:
-    """As spans, for the names in lower case, and those in capitals with an unlisted given name, of which a word is known."""
+        yield from _name(text, *m.span(1), m[1], listed)
+
+
+def one_case_spans(text: str, given_known: Callable[[str], bool], family_known: Callable[[str], bool]) -> Iterator[tuple]:
+    """As spans, for pairs of words in lower case or in capitals of which one is a known name."""
     if not any(given_known(w) or family_known(w) for w in {w.lower() for w in ONE_CASE_WORD.findall(text)}):
         return
     for m in ONE_CASE.finditer(text):
         words = m[1].lower().split(" ")
-        upper, given = m[1].isupper(), words[0].rstrip(".")
-        if (given_known(given) or family_known(words[-1].split("-")[0])) and not (upper and given in listed):
-            yield from _name(text, *m.span(1), m[1], listed, not upper, True)
+        if given_known(words[0].rstrip(".")) or family_known(words[-1].split("-")[0]):
+            yield from _name(text, *m.span(1), m[1], None)
 
 
-def _name(text: str, a: int, b: int, span: str, names: set[str], lower: bool, taught: bool = False) -> Iterator[tuple[int, int, int, tuple[int, ...], str, str]]:
+def _beside(text: str, a: int, b: int) -> tuple[str, str, int]:
+    """The two tokens before and behind a span, in lower case, numbers as 0 and ends of sentences before a word as dots, and a checksum of what surrounds it."""
+    left, right = TOKEN.findall(text[max(0, a - 32) : a].lower())[-2:], TOKEN.findall(text[b : b + 32].lower())[:2]
+    key = lambda tokens: " ".join("0" if DIGIT.search(t) else t for t in tokens)
+    if len(left) == 2 and left[0] in "\n.!?。！？" and left[1].isalpha():
+        left[0] = "."
+    return key(left), key(right), zlib.crc32(text[max(0, a - 40) : b + 40].encode())
+
+
+def _name(text: str, a: int, b: int, span: str, listed: set[str] | None) -> Iterator[tuple]:
+    """The span of a name; listed is None in the second look, which reads what is in one case."""
     if "," in span:
         family, given = re.split(r", +", span, maxsplit=1)
         if family.upper() != family or len(family) < 3:
@@ -182,30 +183,32 @@ def _name(text: str, a: int, b: int, span: str, names: set[str], lower: bool, ta
         parts = span.split()
         given, family = parts[0], parts[-1]
     given, upper, family = given.lower().rstrip("."), span.isupper(), family.lower()
-    listed = given in names
-    if upper and not listed and not taught:
+    if given in TITLE_WORDS or family in TITLE_WORDS or (listed is not None and upper):
         return
-    if given in TITLE_WORDS or family in TITLE_WORDS:
+    if family in NOT_NAME_WORDS or (listed is not None and given in NOT_NAME_WORDS and given not in listed):
         return
     left, right = text[max(0, a - 24) : a], text[b : b + 40]
     title = BEFORE_TITLE.search(left)
-    if title:
-        left = left[: title.start()]
+    start = a - len(title[0]) if title else a
+    left = left[: len(left) - (a - start)]
     yield 4, a, b, (
-        _vote(listed and not lower, given in NOT_NAME_WORDS and not listed),
-        _vote(NAME_BEFORE.search(left) and not NOT_NAME_BEFORE.search(left), NOT_NAME_BEFORE.search(left)),
-        _vote(NAME_AFTER.match(right), NOT_NAME_AFTER.match(right)),
+        _vote(NAME_BEFORE.search(left), HEADING.search(left)),
+        _vote(CONTACT_AFTER.match(right)),
         _vote(title),
         _vote(False, SENTENCE_START.search(left)),
-        _vote("," in span, family in NOT_NAME_WORDS),
-        _vote(False, lower),
-    ), given, family.split("-")[0]
+        _vote("," in span or len(given) == 1),
+        _vote(False, span.islower()),
+    ), given, family.split("-")[0], *_beside(text, start, b)
+
+
+SPAN = "kind int, start int, end int, item string, votes string, given string, family string, left string, right string, near long"
+KEY = ("rec_type", "rec_id", "text_hash")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec_type, rec_id, content of notes and turns with content."""
+    """rec_type, rec_id, text_hash, content of notes and turns with content."""
     parts = [("note", "notes", "note_id"), ("turn", "turns", "turn_id")]
-    rows = [spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.lit(kind).alias("rec_type"), F.col(key).alias("rec_id"), "content") for kind, t, key in parts]
+    rows = [spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.lit(kind).alias("rec_type"), F.col(key).cast("long").alias("rec_id"), F.xxhash64("content").alias("text_hash"), "content") for kind, t, key in parts]
     return reduce(DataFrame.unionByName, rows).where("rec_id is not null and content is not null")
 
 
@@ -215,21 +218,20 @@ def listed_names(given_names: DataFrame) -> set[str]:
 
 
 def propose(rows: DataFrame, find: Callable[[str], Iterator[tuple]]) -> DataFrame:
-    """The spans that find gives for each text: rec_type, rec_id, kind, start, end, item, votes, given, family; repeated rows give each once."""
-    names = ["rec_type", "rec_id", "kind", "start", "end", "item", "votes", "given", "family"]
+    """The spans that find gives for each text (columns of KEY and SPAN); repeated rows give each once."""
+    names = [*KEY, *(x.split(" ")[0] for x in SPAN.split(", "))]
+    types = [pa.string(), pa.int64(), pa.int64(), *[pa.int32()] * 3, *[pa.string()] * 6, pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for kind_of, key, text in zip(*(c.to_pylist() for c in b.columns)):
-                for kind, x, y, votes, given, family in find(text):
-                    out.append((kind_of, key, kind, x, y, PLAIN.sub("", text[x:y].lower()), "".join(map(str, votes)), given, family))
+            for *key, text in zip(*(c.to_pylist() for c in b.columns)):
+                for kind, x, y, votes, *name in find(text):
+                    out.append((*key, kind, x, y, PLAIN.sub("", text[x:y].lower()), "".join(map(str, votes)), *name))
             if out:
-                types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.string()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    schema = "rec_type string, rec_id long, kind int, start int, end int, item string, votes string, given string, family string"
-    return rows.select("rec_type", F.col("rec_id").cast("long"), "content").mapInArrow(run, schema).distinct()
+    return rows.select(*KEY, "content").mapInArrow(run, f"rec_type string, rec_id long, text_hash long, {SPAN}").distinct()
 
 
 def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -254,8 +256,9 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
     return q
 
 
-def logistic(votes: np.ndarray, q: np.ndarray, counts: np.ndarray, rounds: int = 50, penalty: float = 1.0) -> np.ndarray:
-    """Weights (labelers x values, then the constant) of a logistic regression on soft labels, by Newton's steps."""
+def logistic(votes: np.ndarray, q: np.ndarray, counts: np.ndarray, rounds: int = 50, penalty: float = 1e-4) -> np.ndarray:
+    """Weights (labelers x values, then the constant) of a logistic regression on soft labels, by Newton's steps; counts weigh by their share."""
+    counts = counts / counts.sum()
     x = np.hstack([(votes[:, :, None] == np.arange(3)).reshape(len(votes), -1).astype(float), np.ones((len(votes), 1))])
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -299,89 +302,150 @@ def filter_of(names: DataFrame) -> np.ndarray:
     return out
 
 
-def _second_look(spark: SparkSession, listed: set[str], given: np.ndarray, family: np.ndarray) -> Callable[[str], Iterator[tuple]]:
-    shared = spark.sparkContext.broadcast((listed, given, family))
+def _second_look(spark: SparkSession, given: np.ndarray, family: np.ndarray) -> Callable[[str], Iterator[tuple]]:
+    shared = spark.sparkContext.broadcast((given, family))
 
     def known(word: str, bits: np.ndarray) -> bool:
         at = zlib.crc32(word.encode()) % (1 << FILTER_BITS)
         return bool(int(bits[at >> 5]) >> (at & 31) & 1)
 
     def find(text: str) -> Iterator[tuple]:
-        listed, given, family = shared.value
-        return taught_spans(text, listed, lambda w: w in listed or known(w, given), lambda w: known(w, family))
+        given, family = shared.value
+        return one_case_spans(text, lambda w: known(w, given), lambda w: known(w, family))
 
     return find
 
 
-def learn(names: DataFrame, column: str) -> DataFrame:
-    """The names in that column with at least three supported (good) spans and three quarters of their spans."""
-    by = names.where(F.length(column) > 2).groupBy(column).agg(F.sum("good").alias("good"), F.count("*").alias("n"))
-    return by.where((F.col("good") >= 3) & (F.col("good") * 4 >= F.col("n") * 3)).select(column, "good")
+def bound(good: Column, n: Column, side: int) -> Column:
+    """The lower (side -1) or upper (1) bound of Wilson's interval of the share good of n, at 95 percent on that side."""
+    z = 1.645
+    return (good + z * z / 2 + side * z * F.sqrt(good * (n - good) / n + z * z / 4)) / (n + z * z)
+
+
+def spread(rows: DataFrame, by: str, partner: str, **counted: Column) -> DataFrame:
+    """Per by: n, the sum of each of counted (0 or 1), and its spread: over how many partners it is, were they equally frequent."""
+    parts = rows.where(F.length(by) > 0).groupBy(by, partner).agg(F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in counted.items()])
+    squares = [F.try_divide(F.sum(k).cast("double") ** 2, F.sum(F.col(k).cast("double") ** 2)).alias(f"{k}_spread") for k in counted]
+    return parts.groupBy(by).agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in counted], *squares)
+
+
+def learn_cues(evidence: DataFrame, side: str) -> DataFrame:
+    """side, vote: 2 for words beside many different listed names, 0 for those that hardly ever are beside one.
+
+    A cue has, by the lower bound, a listed name in at least a quarter of its spans, spread as over at
+    least five names; fixed phrases that begin like names repeat a few.
+    """
+    by = spread(evidence, side, "given", listed=F.col("listed").cast("long"))
+    cue = (bound(F.col("listed"), F.col("n"), -1) >= 0.25) & (F.col("listed_spread") >= 5)
+    return by.select(side, F.when(cue, "2").when(bound(F.col("listed"), F.col("n"), 1) < 0.1, "0").alias("vote")).where("vote is not null")
+
+
+def learn_names(evidence: DataFrame, column: str, partner: str, good: Column) -> DataFrame:
+    """column, vote, good: 2 for names that are good in at least a third of their spans (lower bound) with a spread of two partners, 0 for words hardly ever beside a cue."""
+    by = spread(evidence.where(F.length(column) > 2), column, partner, good=good.cast("long"), cued=F.col("cued").cast("long"))
+    vote = F.when(bound(F.col("cued"), F.col("n"), 1) < 0.25, "0").when((bound(F.col("good"), F.col("n"), -1) * 3 >= 1) & (F.col("good_spread") >= 2), "2")
+    return by.select(column, vote.alias("vote"), "good").where("vote is not null")
 
 
 def rather_names(learned: DataFrame, again: DataFrame, column: str) -> DataFrame:
-    """The learned names that aren't ordinary words: those with no more spans in one case than supported ones."""
-    seen = again.groupBy(column).agg(F.count("*").alias("n"))
-    return learned.join(seen, column, "left").where(F.coalesce("n", F.lit(0)) <= F.col("good")).select(column)
+    """The names (column, good) that aren't ordinary words: those with no more distinct spans in one case than good ones."""
+    seen = again.select("given", "family", "near").distinct().groupBy(column).agg(F.count("*").alias("n"))
+    return learned.join(seen, column, "left").where(F.coalesce("n", F.lit(0)) <= F.col("good")).select(column, F.lit("2").alias("vote"))
 
 
-def voted(found: DataFrame, known: DataFrame, column: str) -> DataFrame:
-    """found with column_vote, 2 where column is one of known, else null.
+def voted(found: DataFrame, tables: dict[str, DataFrame], salt: str = "near") -> DataFrame:
+    """found with column_vote for the columns of tables: the vote that tables[column] (column, vote) has for it, else null.
 
-    Names with one in HOT of the spans, which are at most HOT, are looked up in a broadcast table. Only
-    spans with another name are matched by a shuffle.
+    Values with one in HOT of a column's spans, which are at most HOT, are looked up in a broadcast table.
+    Others are matched by a shuffle, for which all other rows get keys of their own.
     """
-    vote, asks = f"{column}_vote", F.length(column) > 2
-    counts = found.where(asks).groupBy(column).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = counts.where(F.col("n") * HOT >= total).select(column)
-    hot = hot.join(known.withColumn(vote, F.lit("2")), column, "left").select(column, vote, F.lit(True).alias("hot"))
-    found = materialize(found.join(F.broadcast(hot), column, "left"), f"hot-{column}")
-    rare = asks & F.col("hot").isNull()
-    rest = found.where(rare).drop(vote).join(known.withColumn(vote, F.lit("2")), column, "left")
-    return found.where(~rare).unionByName(rest).drop("hot")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in tables])).alias("x")
+    counts = materialize(found.select(each).select("x.*").where(F.length("value") > 0).groupBy("column", "value").agg(F.count("*").alias("n")), "counts")
+    totals = {r.column: (r.total, r.least) for r in counts.groupBy("column").agg(F.sum("n").alias("total"), F.min("n").alias("least")).collect()}
+    for c, known in tables.items():
+        total, least = totals.get(c, (0, 0))
+        vote, known = f"{c}_vote", known.select(c, F.col("vote").alias(f"{c}_vote"))
+        hot = counts.where((F.col("column") == c) & (F.col("n") * HOT >= total)).select(F.col("value").alias(c))
+        found = found.join(F.broadcast(hot.join(known, c, "left").withColumn("hot", F.lit(True))), c, "left")
+        if least * HOT < total:
+            key = F.when(F.col("hot").isNull() & (F.length(c) > 0), F.col(c)).otherwise(F.concat(F.lit("\0"), F.col(salt)))
+            rest = known.select(F.col(c).alias("key"), F.col(vote).alias("rest"))
+            found = found.withColumn("key", key).join(rest, "key", "left").withColumn(vote, F.coalesce(vote, "rest")).drop("key", "rest")
+        found = found.drop("hot")
+    return found
+
+
+def support(votes: Column) -> Column:
+    """How many of these speak for a name: what is before it, what is behind it, a title, its shape, the given and the family name; 0 where the given name is none."""
+    two = lambda *at: reduce(Column.__or__, [F.substring(votes, i + 1, 1) == "2" for i in at]).cast("int")
+    given_bad = F.substring(votes, 7, 1) == "0"
+    return F.when(given_bad, 0).otherwise(two(0, 8) + two(1, 9) + two(2) + two(4) + two(6) + two(7))
 
 
 def accept(proposed: DataFrame, rows: DataFrame, listed: set[str]) -> DataFrame:
-    """The spans that the classifier accepts: rec_type, rec_id, and spans (p, length, kind, start, end, item) of each record.
+    """The spans that the classifier accepts: the columns of KEY, and spans (p, length, kind, start, end, item) of each text.
 
-    The classifier is fitted twice on the vote patterns of all spans, with a round that learns names
-    between (see learn), however many there are. The second fit also has the names in one case that the
-    learned and listed names bring out of the rows.
+    Cues are learned from listed names, names from cues and listed names, then the classifier is fitted on
+    the vote patterns of all spans. A name needs two kinds of support besides. In one case, only what has
+    two known names, or one and a cue, is proposed at all, and only by names that stand in capitals at
+    least as often.
     """
     spark = proposed.sparkSession
-    first = _classify(_patterns(proposed))
-    good = [v for k, v, p in first if k == TYPES.index("name") and p > 0.5]
-    is_name, lower = F.col("kind") == TYPES.index("name"), F.substring("votes", -1, 1) == "0"
-    proposed = proposed.where(~(is_name & lower))  # those that stand a chance are found again below
-    names = proposed.where(is_name).withColumn("good", F.col("votes").isin(good).cast("long"))
-    given, family = (materialize(learn(names, c), f"learned-{c}") for c in ("given", "family"))
-    again = materialize(propose(rows, _second_look(spark, listed, filter_of(given.select("given")), filter_of(family.select("family")))), "again")
-
-    surely = {c: materialize(rather_names(x, again, c), f"surely-{c}") for c, x in (("given", given), ("family", family))}
-    given, family = given.select("given"), family.select("family")
-
-    # In one case, only what has two known names, or one and some word around it, is proposed at all.
-    listed_too = surely["given"].unionByName(spark.createDataFrame([(x,) for x in sorted(listed)], "given string")).distinct()
-    again = voted(voted(again, listed_too, "given"), surely["family"], "family")
-    cued = F.substring("votes", 2, 3).contains("2")
+    on_list = spark.createDataFrame([(x,) for x in sorted(listed)] or [("",)], "given string").withColumn("listed", F.lit(True))
+    is_name, fixed_cue = F.col("kind") == TYPES.index("name"), F.substring("votes", 1, 3).contains("2")
+    names = proposed.where(is_name).join(F.broadcast(on_list), "given", "left")
+    evidence = names.select("given", "family", "left", "right", "near", F.col("listed").isNotNull().alias("listed"), fixed_cue.alias("cued")).distinct()
+    evidence = materialize(evidence, "evidence")
+    cues = {c: materialize(learn_cues(evidence, c), f"cues-{c}") for c in ("left", "right")}
+    beside = (F.coalesce(F.col("left_vote"), F.lit("1")) == "2") | (F.coalesce(F.col("right_vote"), F.lit("1")) == "2")
+    evidence = materialize(voted(evidence, cues).withColumn("cued", F.col("cued") | beside), "cued")
+
+    # Given names by cues, family names by cues and these, and given names once more by the family names too.
+    good = F.col("cued") | F.col("listed")
+    first = materialize(learn_names(evidence, "given", "family", good), "first-given").where("vote = '2'").select("given", F.lit(True).alias("known"))
+    family = materialize(learn_names(evidence.join(first, "given", "left"), "family", "given", good | F.col("known").isNotNull()), "family")
+    second = family.where("vote = '2'").select("family", F.lit(True).alias("known"))
+    given = materialize(learn_names(evidence.join(second, "family", "left"), "given", "family", good | F.col("known").isNotNull()), "given")
+    known = given.where("vote = '2'")
+
+    # Listed names count as good as often as they stand in capitals before a family name that isn't against them.
+    capitals = spread(evidence.where("listed"), "given", "family", good=F.col("cued").cast("long")).select("given", "good")
+    able = {"given": known.select("given", "good").join(capitals, "given", "left_anti").unionByName(capitals), "family": family.where("vote = '2'").select("family", "good")}
+    look = _second_look(spark, *(filter_of(x.select(c)) for c, x in able.items()))
+    again = materialize(propose(rows, look), "again")
+    surely = {c: rather_names(x, again, c) for c, x in able.items()}
+    again = voted(again, surely | cues)
     one, two = (F.col(f"{c}_vote").isNotNull() for c in ("given", "family"))
-    proposed = voted(voted(proposed, given, "given"), family, "family").unionByName(again.where((one & two) | ((one | two) & cued)))
-    more = F.concat("votes", F.coalesce("given_vote", F.lit("1")), F.coalesce("family_vote", F.lit("1")))
-    proposed = proposed.withColumn("votes", F.when(is_name, more).otherwise(F.col("votes"))).drop("given_vote", "family_vote")
-    proposed = materialize(proposed, "spans")
+    again = again.where((one & two) | ((one | two) & (fixed_cue | beside)))
+
+    # A listed name counts as one, unless it is hardly ever beside a cue.
+    given = given.select("given", "vote").join(on_list, "given", "full_outer")
+    given = given.select("given", F.when(F.col("listed").isNull(), F.col("vote")).when(F.coalesce("vote", F.lit("2")) == "2", "2").alias("vote")).where("vote is not null")
+    names = voted(names.drop("listed"), {"given": given, "family": family} | cues).unionByName(again)
+    more = F.concat("votes", *[F.coalesce(f"{c}_vote", F.lit("1")) for c in ("given", "family", "left", "right")])
+    columns = [*KEY, "kind", "start", "end", "item", "votes"]
+    proposed = materialize(names.withColumn("votes", more).select(columns).unionByName(proposed.where(~is_name).select(columns)), "spans")
     model = spark.createDataFrame(_classify(_patterns(proposed)) or [(-1, "", 0.0)], "kind int, votes string, p double")
-    kept = proposed.join(F.broadcast(model.where("p > 0.5")), ["kind", "votes"])
-    return kept.groupBy("rec_type", "rec_id").agg(F.collect_set(F.struct("p", (F.col("end") - F.col("start")).alias("length"), "kind", "start", "end", "item")).alias("spans"))
+    model = model.where((F.col("p") > 0.5) & (~is_name | (support(F.col("votes")) >= 2)))
+    kept = proposed.join(F.broadcast(model), ["kind", "votes"])
+    return kept.groupBy(*KEY).agg(F.collect_set(F.struct("p", (F.col("end") - F.col("start")).alias("length"), "kind", "start", "end", "item")).alias("spans"))
 
 
 def settle(found: list[dict]) -> list[dict]:
-    """The spans of one record without overlaps: the most probable first, then the longer."""
+    """The spans of one text without overlaps: of names with one end the longest, names after the rest, then the most probable first."""
+    longest: dict[int, int] = {}
+    for s in found:
+        if TYPES[s["kind"]] == "name":
+            longest[s["end"]] = max(longest.get(s["end"], 0), s["length"])
+    found = [s for s in found if TYPES[s["kind"]] != "name" or s["length"] == longest[s["end"]]]
     taken: list[dict] = []
-    for s in sorted(found, key=lambda s: (-s["p"], -s["length"], s["start"], s["kind"])):
-        if all(s["end"] <= t["start"] or s["start"] >= t["end"] for t in taken):
-            taken.append(s)
-    return sorted(taken, key=lambda s: s["start"])
+    starts: list[int] = []
+    for s in sorted(found, key=lambda s: (TYPES[s["kind"]] == "name", -s["p"], -s["length"], s["start"], s["kind"])):
+        at = bisect.bisect(starts, s["start"])
+        if (not at or taken[at - 1]["end"] <= s["start"]) and (at == len(taken) or s["end"] <= taken[at]["start"]):
+            taken.insert(at, s)
+            starts.insert(at, s["start"])
+    return taken
 
 
 SETTLED = "array<struct<kind:int,start:int,end:int,item:string>>"
@@ -391,10 +455,10 @@ def _settled(accepted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("item", pa.string())]))
         for b in batches:
-            rows = [[{k: s[k] for k in ("kind", "start", "end", "item")} for s in settle(x)] for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, kind)], ["rec_type", "rec_id", "spans"])
+            rows = [[{k: s[k] for k in ("kind", "start", "end", "item")} for s in settle(x)] for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(rows, kind)], [*KEY, "spans"])
 
-    return accepted.mapInArrow(run, f"rec_type string, rec_id long, spans {SETTLED}")
+    return accepted.mapInArrow(run, f"rec_type string, rec_id long, text_hash long, spans {SETTLED}")
 
 
 def _fill(text: str, settled: list[dict]) -> str:
@@ -413,7 +477,7 @@ def redact(rows: DataFrame, settled: DataFrame) -> DataFrame:
             texts = [_fill(t, s) if s else t for t, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["rec_type", "rec_id", "content"])
 
-    joined = rows.withColumn("rec_id", F.col("rec_id").cast("long")).join(settled, ["rec_type", "rec_id"], "left")
+    joined = rows.join(settled, list(KEY), "left")
     return joined.select("rec_type", "rec_id", "content", "spans").mapInArrow(run, "rec_type string, rec_id long, content string")
 
 
@@ -427,14 +491,14 @@ def _find(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p2_redacted: every note and turn with content, with placeholders for personal information.
 
-    Repeated rows stay. Null keys and null contents have no row. Rows that repeat a key are taken to
-    have one content, as spans are found by key.
+    Repeated rows stay. Null keys and null contents have no row. Spans belong to a key and its content, so
+    a key with several contents has each of them redacted by its own spans.
     """
     return redact(*_find(spark, sf_dir))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p2_found: one row per distinct item of a record."""
+    """p2_found: one row per distinct item of a record; of a key with several contents, the items of all."""
     each = _find(spark, sf_dir)[1].select("rec_type", "rec_id", F.explode("spans").alias("s"))
     kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), F.col("s.kind") + 1)
     return each.select("rec_type", "rec_id", kind.alias("pii_type"), "s.item").distinct()

@@ -31,13 +31,18 @@ def found_in(text, listed=("linus", "una")):
         ("en Calle de los Curtidores 178, Torremura", "address", "Calle de los Curtidores 178"),
         ("Met Dr. Linus A. Fenby-Wexridge and talked", "name", "Linus A. Fenby-Wexridge"),
         ("paid by MARBY, Yvette.", "name", "MARBY, Yvette"),
-        ("Signed, linus fenby.", "name", "linus fenby"),
     ],
 )
 def test_proposals(text, kind, span):
     assert (kind, span) in found_in(text)
 
 
+@pytest.mark.parametrize("text, span", [("Signed, linus fenby.", "linus fenby"), ("Signed, L. FENBY.", "L. FENBY"), ("OHNE LINUS FENBY BLEIBT", "LINUS FENBY")])
+def test_proposals_in_one_case(text, span):
+    known = {"linus", "fenby"}.__contains__
+    assert span in {text[a:b] for _, a, b, *_ in personal.one_case_spans(text, known, known)}
+
+
 def test_em_trusts_good_labelers():
     rnd = np.random.default_rng(0)
     truth = rnd.random(4000) < 0.3
