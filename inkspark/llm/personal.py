@@ -62,8 +62,8 @@ NAME_BEFORE = re.compile(
 HEADING = re.compile(r"(?:^|\n)#{1,6}[ ]$|\|---$")
 NOT_NAME_WORDS = set(
     "the a an of in on at by to for with from is are was and or but not no that this it its we they who what which when why how where if so as both half once since before another here let see start"
-    " der die das den dem ein eine einen und oder ohne mit bei zu von für auf wer was wie warum le la les un une des du de et ou sans avec pour qui que pourquoi el los las una unos y o sin con para quién qué"
-    " monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december street st road rd lane drive close way terrace crescent court square avenue ave flat calle avenida rue".split()
+    " der die das den dem ein eine einen und oder ohne mit bei zu von für auf wer was wie warum le la les un une des du de et ou sans avec pour qui que pourquoi el los las un unos y o sin con para quién qué"
+    " monday tuesday wednesday thursday friday saturday sunday january february march july september october november december street st road rd lane drive close way terrace crescent court square avenue ave flat calle avenida rue".split()
 )
 STREET_WORDS = (" Street", " St", " Road", " Rd", " Lane", " Ln", " Avenue", " Ave", " Drive", " Close", " Way", " Terrace", " Court", " Cres", " Gardens", " Row", " Square", " Sq", " Place", " Hill", " Walk", " Mews", " Grove")
 STREETS = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Close|Way|Terrace|Court|Crescent|Cres|Gardens|Row|Square|Sq|Place|Hill|Walk|Mews|Grove)"
@@ -129,7 +129,7 @@ def spans(text: str, listed: set[str]) -> Iterator[tuple]:
             top = re.split(r"[^\w]+", m[0].rstrip())[-1]
             a, b = m.span()
             votes = _vote(top.isalpha() and len(top) > 1, any(c.isdigit() for c in top)), _vote("@" in m[0] and " " not in m[0]), _vote(EMAIL_CUE.search(text[max(0, a - 40) : a])), _vote("@" not in m[0])
-            yield 0, a, b, votes, "", "", "", "", 0
+            yield 0, a, b, votes, "", "", "", "", 0, False
     for zone in ZONE.finditer(text):
         lo, hi = max(0, zone.start() - 5), min(len(text), zone.end() + 3)
         for m in PHONE.finditer(text, lo, hi):
@@ -137,19 +137,19 @@ def spans(text: str, listed: set[str]) -> Iterator[tuple]:
             left, right = text[max(0, a - 36) : a].rpartition("\n")[2], text[b : b + 24]
             n = sum(c.isdigit() for c in m[0])
             cue = PHONE_CUE.search(left[-26:]) or PHONE_AFTER.match(right) or left.endswith(("tel:", "/ ", "| ")) or PHONE_NEXT.search(left)
-            yield 1, a, b, (_vote(n in (10, 11, 12, 13)), _vote(cue, not cue), _vote(False, OTHER_NUMBER.search(left) or ID_CUE.search(left)), _vote(m[0][0] == "+", n < 10)), "", "", "", "", 0
+            yield 1, a, b, (_vote(n in (10, 11, 12, 13)), _vote(cue, not cue), _vote(False, OTHER_NUMBER.search(left) or ID_CUE.search(left)), _vote(m[0][0] == "+", n < 10)), "", "", "", "", 0, False
         for m in ID.finditer(text, lo, hi):
             a, b = m.span()
             left = text[max(0, a - 34) : a].rpartition("\n")[2]
             cue = ID_CUE.search(left)
-            yield 2, a, b, (_vote(cue, not cue), _vote(False, OTHER_NUMBER.search(left) and not cue), _vote(any(c.isalpha() for c in m[0])), _vote(False, PHONE_CUE.search(left))), "", "", "", "", 0
+            yield 2, a, b, (_vote(cue, not cue), _vote(False, OTHER_NUMBER.search(left) and not cue), _vote(any(c.isalpha() for c in m[0])), _vote(False, PHONE_CUE.search(left))), "", "", "", "", 0, False
     for marks, pattern in ADDRESSES:
         if any(x in text for x in marks):
             for m in pattern.finditer(text):
                 a, b = m.span()
                 follows = re.match(r"(?:,? (?:\d{5}|[A-Z]{1,2}\d)|, [A-ZÀ-Þ]|[.;,|\n\r。 ]|$)", text[b : b + 10])
                 votes = _vote(ADDRESS_CUE.search(text[max(0, a - 40) : a])), _vote(follows, True), _vote(not re.match(r" (?:route|failures|stops)\b", text[b : b + 10]), True), _vote(True)
-                yield 3, a, b, votes, "", "", "", "", 0
+                yield 3, a, b, votes, "", "", "", "", 0, False
     for m in NAME.finditer(text):
         yield from _name(text, *m.span(1), m[1], listed)
 
@@ -176,7 +176,7 @@ def _beside(text: str, a: int, b: int) -> tuple[str, str, int]:
 def _name(text: str, a: int, b: int, span: str, listed: set[str] | None) -> Iterator[tuple]:
     """The span of a name; listed is None in the second look, which reads what is in one case."""
     if "," in span:
-        family, given = re.split(r", +", span, maxsplit=1)
+        family, given = parts = re.split(r", +", span, maxsplit=1)
         if family.upper() != family or len(family) < 3:
             return
     else:
@@ -185,7 +185,7 @@ def _name(text: str, a: int, b: int, span: str, listed: set[str] | None) -> Iter
     given, upper, family = given.lower().rstrip("."), span.isupper(), family.lower()
     if given in TITLE_WORDS or family in TITLE_WORDS or (listed is not None and upper):
         return
-    if family in NOT_NAME_WORDS or (listed is not None and given in NOT_NAME_WORDS and given not in listed):
+    if family in NOT_NAME_WORDS or (listed is not None and len(given) > 1 and given in NOT_NAME_WORDS and given not in listed):
         return
     left, right = text[max(0, a - 24) : a], text[b : b + 40]
     title = BEFORE_TITLE.search(left)
@@ -198,10 +198,10 @@ def _name(text: str, a: int, b: int, span: str, listed: set[str] | None) -> Iter
         _vote(False, SENTENCE_START.search(left)),
         _vote("," in span or len(given) == 1),
         _vote(False, span.islower()),
-    ), given, family.split("-")[0], *_beside(text, start, b)
+    ), given, family.split("-")[0], *_beside(text, start, b), "." in span[1:] and "," not in span and not parts[0].endswith(".")
 
 
-SPAN = "kind int, start int, end int, item string, votes string, given string, family string, left string, right string, near long"
+SPAN = "kind int, start int, end int, item string, votes string, given string, family string, left string, right string, near long, middle boolean"
 KEY = ("rec_type", "rec_id", "text_hash")
 
 
@@ -220,7 +220,7 @@ def listed_names(given_names: DataFrame) -> set[str]:
 def propose(rows: DataFrame, find: Callable[[str], Iterator[tuple]]) -> DataFrame:
     """The spans that find gives for each text (columns of KEY and SPAN); repeated rows give each once."""
     names = [*KEY, *(x.split(" ")[0] for x in SPAN.split(", "))]
-    types = [pa.string(), pa.int64(), pa.int64(), *[pa.int32()] * 3, *[pa.string()] * 6, pa.int64()]
+    types = [pa.string(), pa.int64(), pa.int64(), *[pa.int32()] * 3, *[pa.string()] * 6, pa.int64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -394,7 +394,8 @@ def accept(proposed: DataFrame, rows: DataFrame, listed: set[str]) -> DataFrame:
     on_list = spark.createDataFrame([(x,) for x in sorted(listed)] or [("",)], "given string").withColumn("listed", F.lit(True))
     is_name, fixed_cue = F.col("kind") == TYPES.index("name"), F.substring("votes", 1, 3).contains("2")
     names = proposed.where(is_name).join(F.broadcast(on_list), "given", "left")
-    evidence = names.select("given", "family", "left", "right", "near", F.col("listed").isNotNull().alias("listed"), fixed_cue.alias("cued")).distinct()
+    # What stands before an initial may be a word before the name, so these spans teach nothing.
+    evidence = names.where(~F.col("middle")).select("given", "family", "left", "right", "near", F.col("listed").isNotNull().alias("listed"), fixed_cue.alias("cued")).distinct()
     evidence = materialize(evidence, "evidence")
     cues = {c: materialize(learn_cues(evidence, c), f"cues-{c}") for c in ("left", "right")}
     beside = (F.coalesce(F.col("left_vote"), F.lit("1")) == "2") | (F.coalesce(F.col("right_vote"), F.lit("1")) == "2")

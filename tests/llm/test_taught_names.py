@@ -27,7 +27,7 @@ def test_learned_names_are_looked_for_in_one_case(spark, tmp_path):
 def test_rare_names_are_learned_on_large_input(spark):
     def span(i, votes, given, family, left):
         text = {"rec_type": F.lit("note"), "rec_id": i.cast("long"), "text_hash": i.cast("long"), "item": F.lit(given + family), "votes": F.lit(votes), "given": F.lit(given), "family": F.lit(family), "left": F.lit(left), "right": F.lit(". x")}
-        columns = {**text, "kind": F.lit(4), "start": F.lit(0), "end": F.lit(9), "near": i.cast("long")}
+        columns = {**text, "kind": F.lit(4), "start": F.lit(0), "end": F.lit(9), "near": i.cast("long"), "middle": F.lit(False)}
         return [columns[c].alias(c) for c in (*personal.KEY, *(x.split(" ")[0] for x in personal.SPAN.split(", ")))]
 
     many = spark.range(200_000).select(*span(F.col("id"), "211111", "linus", "fenby", "signed ,"))
