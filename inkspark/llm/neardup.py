@@ -1,9 +1,12 @@
 """Near-duplicate records by a MinHash LSH forest with exact verification (problem 3).
 
 Texts with the same sequence of units (words, or characters of a title) form a class and are searched
-once. Every class has a label of min-hashes in each tree; classes that share a label's prefix are
-candidates. The prefix is shortened until the chance of meeting in some tree, at the threshold,
-reaches the target recall. A 32-value sketch beside the label drops chance meetings; exact
+once. In each tree, a class has a label of min-hashes; classes that share a prefix of it meet in a node.
+Labels are sorted by node, and runs of one node give the candidates. The prefix is as short as the target
+recall demands at the threshold (a longer one would lose pairs), and is made longer only where a node
+holds more than NODE classes: its members get a forest of their own inside the node, with further
+min-hashes and more trees, which keeps the recall. What is still dense after LEVELS such forests is alike
+in truth, and is compared in blocks. A 32-value sketch beside the label drops chance meetings; exact
 Jaccard similarity over shingle sets decides the rest.
 """
 
@@ -23,8 +26,10 @@ from inkspark.session import materialize
 
 WORD = r"[\p{L}\p{N}]+"
 SKETCH = 32
-#: Ids up to this many (8 MB) are broadcast to fetch candidates' texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Ids up to this many (under 1 MB) are broadcast to fetch candidates' texts; more are joined by a shuffle.
+BROADCAST_IDS = 20_000
+#: Classes of a node that are compared directly; more get longer prefixes, up to LEVELS forests in all.
+NODE, LEVELS = 256, 3
 #: Classes of up to this many copies are written out as all pairs, larger ones as pairs with their first record.
 SMALL_CLASS = 64
 
@@ -65,8 +70,8 @@ def units_of(text: str, kind: Kind) -> Column:
 
 
 def records(spark: SparkSession, sf_dir: str, kind: Kind) -> DataFrame:
-    """id and units of the records that count; nulls and short texts don't."""
-    rows = spark.read.parquet(f"{sf_dir}/{kind.table}.parquet").select(F.col(kind.key).alias("id"), units_of(kind.text, kind).alias("units"))
+    """id, units and text_hash of the records that count; nulls and short texts don't."""
+    rows = spark.read.parquet(f"{sf_dir}/{kind.table}.parquet").select(F.col(kind.key).alias("id"), units_of(kind.text, kind).alias("units"), F.xxhash64(kind.text).alias("text_hash"))
     return rows.where(F.col("id").isNotNull() & ((F.size if kind.units == "words" else F.length)("units") >= max(kind.least, kind.shingle)))
 
 
@@ -110,7 +115,7 @@ def shingle_hashes(units: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
 
 
 def signer(words: bool, k: int, trees: int, depth: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of id, units: id, class key, two sketch words, and the label prefix of each tree as one key."""
+    """For batches of id, units, text_hash: id, text_hash, class key, two sketch words, and the label prefix of each tree as one key."""
     rng = np.random.default_rng(seed)
     xor = rng.integers(0, 2**63, trees * depth + SKETCH, np.uint64)
     odd = rng.integers(0, 2**63, trees * depth + SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,19 +141,22 @@ def signer(words: bool, k: int, trees: int, depth: int, seed: int) -> Callable[[
                 sketch[i // 16] |= (mix(low(trees * depth + i)) & np.uint64(15)) << np.uint64(4 * (i % 16))
             at_keys = pa.array(np.arange(len(b) + 1, dtype=np.int32) * trees)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(x.view(np.int64)) for x in (cls, *sketch)), pa.ListArray.from_arrays(at_keys, pa.array(keys.ravel().view(np.int64)))],
-                ["id", "cls", "s1", "s2", "keys"],
+                [b.column(0), b.column(2), *(pa.array(x.view(np.int64)) for x in (cls, *sketch)), pa.ListArray.from_arrays(at_keys, pa.array(keys.ravel().view(np.int64)))],
+                ["id", "text_hash", "cls", "s1", "s2", "keys"],
             )
 
     return run
 
 
-def _agreeing(a: str, b: str) -> Column:
+SIGNED = "id long, text_hash long, cls long, s1 long, s2 long, keys array<long>"
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many of the 16 four-bit values of two words are equal."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-    return 16 - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    x = (a ^ b).view(np.uint64)
+    x = x | (x >> np.uint64(1))
+    x = x | (x >> np.uint64(2))
+    return 16 - np.bitwise_count(x & np.uint64(0x1111111111111111)).astype(int)
 
 
 def least_agreeing(threshold: float) -> int:
@@ -165,41 +173,118 @@ class Found:
     links: DataFrame
 
 
+def meet(least: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of node, cls, s1, s2, side, sorted by node: node and pairs a < b that share one.
+
+    Pairs need at least so many sketch values in common, and different sides unless side is 0. Nodes with
+    more than most rows give their members instead, each with a null b; no more rows than that are held.
+    """
+
+    def out(node: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        second = pa.nulls(len(a), pa.int64()) if b is None else pa.array(np.maximum(a, b))
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(a if b is None else np.minimum(a, b)), second], ["node", "a", "b"])
+
+    def pairs(node: np.ndarray, cls: np.ndarray, s1: np.ndarray, s2: np.ndarray, side: np.ndarray, first: np.ndarray, n: int) -> pa.RecordBatch:
+        i, j = np.triu_indices(n, 1)
+        x, y = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+        near = (_agreeing(s1[x], s1[y]) + _agreeing(s2[x], s2[y]) >= least) & (cls[x] != cls[y]) & ((side[x] == 0) | (side[x] != side[y]))
+        return out(node[x[near]], cls[x[near]], cls[y[near]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, dense = [np.empty(0, np.int64) for _ in range(5)], None
+        for b in _and_end(batches):
+            if b is not None:
+                held = [np.append(h, c.to_numpy(zero_copy_only=False)) for h, c in zip(held, b.columns)]
+            node = held[0]
+            if not len(node):
+                continue
+            first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            sizes = np.diff(np.append(first, len(node)))
+            open_run = b is not None and sizes[-1] <= most and node[-1] != dense
+            full = len(first) - open_run
+            big = (sizes > most) | (node[first] == dense) if dense is not None else sizes > most
+            for at in np.flatnonzero(big[:full]):
+                part = slice(first[at], first[at] + sizes[at])
+                yield out(node[part], held[1][part], None)
+            rest = np.flatnonzero(~big[:full])
+            for n in np.unique(sizes[rest]):
+                if n > 1:
+                    # A node of n rows gives n * (n - 1) / 2 pairs; as many nodes at once as stay below four million.
+                    starts, step = first[rest[sizes[rest] == n]], max(1, 8_000_000 // int(n * (n - 1)))
+                    for k in range(0, len(starts), step):
+                        yield pairs(*held, starts[k : k + step], int(n))
+            dense = node[-1] if big[-1] else None
+            held = [h[first[-1] :] if open_run else h[:0] for h in held]
+
+    return run
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _met(rows: DataFrame, threshold: float, most: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), and members (node, cls) of nodes with more than most rows, of node, cls, s1, s2, side."""
+    ordered = rows.select("node", "cls", "s1", "s2", "side").repartition("node").sortWithinPartitions("node")
+    all_met = materialize(ordered.mapInArrow(meet(least_agreeing(threshold), most), "node long, a long, b long"), label)
+    return all_met.where("b is not null").select("a", "b"), all_met.where("b is null").select("node", F.col("a").alias("cls"))
+
+
+def texts_of(spark: SparkSession, sf_dir: str, kinds: tuple[Kind, ...], signed: DataFrame, wanted: DataFrame) -> dict[str, DataFrame]:
+    """By kind: cls and units of one record of each wanted class, the one with the smallest id."""
+    ids = materialize(signed.join(wanted, "cls", "left_semi").groupBy("rec_type", "cls").agg(F.min(F.struct("id", "text_hash")).alias("r")).select("rec_type", "cls", "r.*"), "wanted")
+    few, out = ids.count() <= BROADCAST_IDS, {}
+    for kind in kinds:
+        want = ids.where(F.col("rec_type") == kind.name).select("id", "text_hash", "cls")
+        rows = spark.read.parquet(f"{sf_dir}/{kind.table}.parquet").select(F.col(kind.key).alias("id"), F.col(kind.text).alias("text"))
+        rows = rows.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(want) if few else want, ["id", "text_hash"])
+        # Repeated rows of a key have one text.
+        out[kind.name] = rows.groupBy("cls").agg(F.first("text").alias("text")).select("cls", units_of("text", kind).alias("units"))
+    return out
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str, kinds: tuple[Kind, ...] = KINDS, threshold: float = 0.6, recall: float = 0.99) -> Found:
     """Classes of equal unit sequences, and all pairs of classes with at least that Jaccard similarity, found with that recall.
 
-    Repeated rows of a key with the same text count once; a key with several texts is in a class for each,
-    which are compared by its shortest. Null keys and texts, and texts too short, are in none. Copies
-    cost one row each, whatever their number.
+    Repeated rows of a key with the same text count once; a key with several texts is in a class for each.
+    Null keys and texts, and texts too short, are in none. Copies cost one row each, whatever their number.
     """
-    signed = []
-    for i, kind in enumerate(kinds):
-        run = signer(kind.units == "words", kind.shingle, kind.trees, prefix_depth(kind.trees, threshold, recall), 7919 * (i + 1))
-        rows = records(spark, sf_dir, kind).mapInArrow(run, "id long, cls long, s1 long, s2 long, keys array<long>")
-        signed.append(rows.select(F.lit(kind.name).alias("rec_type"), "*"))
+
+    def sign(rows: DataFrame, kind: Kind, seed: int, trees: int) -> DataFrame:
+        run = signer(kind.units == "words", kind.shingle, trees, prefix_depth(kind.trees, threshold, recall), seed)
+        return rows.mapInArrow(run, SIGNED).select(F.lit(kind.name).alias("rec_type"), "*")
+
+    signed = [sign(records(spark, sf_dir, kind), kind, 7919 * (i + 1), kind.trees) for i, kind in enumerate(kinds)]
     signed = materialize(reduce(DataFrame.unionByName, signed), "signatures")
     members = signed.select("rec_type", "cls", "id").distinct()
 
     classes = signed.groupBy("cls").agg(F.min_by("keys", "id").alias("keys"), F.min("s1").alias("s1"), F.min("s2").alias("s2"))
-    buckets = classes.select("cls", "s1", "s2", F.explode("keys").alias("bucket"))
-    a, b = (buckets.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "s1", "s2")]) for x in "ab")
-    near = _agreeing("s1_a", "s1_b") + _agreeing("s2_a", "s2_b") >= least_agreeing(threshold)
-    met = a.join(b, "bucket").where((F.col("cls_a") < F.col("cls_b")) & near).select("cls_a", "cls_b").distinct()
-    met = materialize(met, "candidates")
+    labels = classes.select("cls", "s1", "s2", F.explode("keys").alias("node"), F.lit(0).cast("long").alias("side"))
+    pairs, dense = _met(labels, threshold, NODE, "met")
+    met = [pairs]
+    for level in range(1, LEVELS):
+        if dense.isEmpty():
+            break
+        units = texts_of(spark, sf_dir, kinds, signed, dense.select("cls").distinct())
+        # Half as many trees again, for what meets in the node is to meet again inside it.
+        again = [
+            sign(units[kind.name].select(F.col("cls").alias("id"), "units", F.lit(0).cast("long").alias("text_hash")), kind, 7919 * (i + 1) + 104_729 * level, kind.trees * 3 // 2).drop("cls").withColumnRenamed("id", "cls")
+            for i, kind in enumerate(kinds)
+        ]
+        again = materialize(reduce(DataFrame.unionByName, again).select("cls", "s1", "s2", "keys"), f"signatures-{level}")
+        inner = dense.join(again, "cls").select("node", "cls", "s1", "s2", F.explode("keys").alias("key"))
+        inner = inner.select(F.xxhash64("node", "key").alias("node"), "cls", "s1", "s2", F.lit(0).cast("long").alias("side"))
+        pairs, dense = _met(inner, threshold, NODE, f"met-{level}")
+        met.append(pairs)
+    if not dense.isEmpty():
+        met.append(_blocks(dense, classes, threshold))
+    met = materialize(reduce(DataFrame.unionByName, met).distinct().select(F.col("a").alias("cls_a"), F.col("b").alias("cls_b")), "candidates")
 
     involved = met.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
-    ids = materialize(signed.join(involved, "cls", "left_semi").groupBy("rec_type", "cls").agg(F.min("id").alias("id")), "involved")
-    small = ids.count() <= BROADCAST_IDS
-    sets = []
-    for kind in kinds:
-        want = ids.where(F.col("rec_type") == kind.name).select("id", "cls", "rec_type")
-        rows = spark.read.parquet(f"{sf_dir}/{kind.table}.parquet").select(F.col(kind.key).alias("id"), F.col(kind.text).alias("text"))
-        rows = rows.join(F.broadcast(want) if small else want, "id").select("cls", "rec_type", units_of("text", kind).alias("u"))
-        size = F.size("u") if kind.units == "words" else F.length("u")
-        rows = rows.where(size >= max(kind.least, kind.shingle))
-        sets.append(rows.select("cls", "rec_type", shingle_set("u", kind).alias("set")))
-    # A key with several texts gives a set for each; the smallest stands.
-    sets = reduce(DataFrame.unionByName, sets).groupBy("cls").agg(F.min("rec_type").alias("rec_type"), F.min_by("set", F.size("set")).alias("set"))
+    units = texts_of(spark, sf_dir, kinds, signed, involved)
+    sets = [units[kind.name].select("cls", F.lit(kind.name).alias("rec_type"), shingle_set("units", kind).alias("set")) for kind in kinds]
+    sets = reduce(DataFrame.unionByName, sets)
     left = sets.select(F.col("cls").alias("cls_a"), "rec_type", F.col("set").alias("set_a"))
     right = sets.select(F.col("cls").alias("cls_b"), F.col("set").alias("set_b"))
     pairs = met.join(left, "cls_a").join(right, "cls_b").withColumn("both", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
@@ -210,6 +295,20 @@ def near_duplicates(spark: SparkSession, sf_dir: str, kinds: tuple[Kind, ...] =
     return Found(members, links)
 
 
+def _blocks(dense: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of the members of each node, in pairs of blocks of about NODE members, so that no task holds a node."""
+    sized = dense.groupBy("node").agg(F.ceil(F.count("*") / F.lit(NODE)).cast("int").alias("n_blocks"))
+    rows = dense.join(sized, "node").join(classes.select("cls", "s1", "s2"), "cls").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    place = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    # Blocks vary in size by chance only; four times the mean doesn't occur.
+    pairs, rest = _met(rows.select(place.alias("node"), "cls", "s1", "s2", side.cast("long").alias("side")), threshold, 8 * NODE + 64, "blocks")
+    if not rest.isEmpty():
+        raise RuntimeError("a block of more than eight times NODE members")
+    return pairs
+
+
 def pairs_of(found: Found) -> DataFrame:
     """rec_type, id_a, id_b of all linked records, id_a < id_b.
 
@@ -255,15 +354,14 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p3_classes: every record that counts with its class, the class's number of links, and its group.
+def classes_at(spark: SparkSession, sf_dir: str, kinds: tuple[Kind, ...], threshold: float) -> DataFrame:
+    """rec_type, rec_id, class_id, n_links and group_id of every record that counts.
 
-    A class has the records with one sequence of units, and class_id is its smallest id. group_id is the
-    smallest id of all records that links connect, directly or through others. Shingles of five words
-    (titles: five characters) and a similarity of at least 0.8.
+    A class has the records with one sequence of units, and class_id is its smallest id. n_links is the
+    number of other classes that are similar, and group_id the smallest id of all records that links
+    connect, directly or through others.
     """
-    kinds = tuple(Kind(k.name, k.table, k.key, k.text, k.units, k.least, 20, 5) for k in KINDS)
-    result = near_duplicates(spark, sf_dir, kinds, 0.8)
+    result = near_duplicates(spark, sf_dir, kinds, threshold)
     links = materialize(result.links.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")), "links")
     ends = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     named = result.members.groupBy("rec_type", "cls").agg(F.min("id").alias("class_id"))
@@ -272,3 +370,13 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = named.groupBy("rec_type", "group").agg(F.min("class_id").alias("group_id"))
     out = result.members.join(named.join(groups, ["rec_type", "group"]), ["rec_type", "cls"])
     return out.select("rec_type", F.col("id").alias("rec_id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "group_id")
+
+
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p3_classes: classes_at for shingles of five words (titles: five characters) and a similarity of at least 0.8."""
+    return classes_at(spark, sf_dir, tuple(Kind(k.name, k.table, k.key, k.text, k.units, k.least, 20, 5) for k in KINDS), 0.8)
+
+
+def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p3_similar: classes_at for the shingles and the similarity of p3_found, which it completes for classes of many copies."""
+    return classes_at(spark, sf_dir, KINDS, 0.6)

@@ -11,6 +11,7 @@ QUERIES = {
     "p2_redacted": personal.redacted,
     "p3_found": neardup.found,
     "p3_classes": neardup.classes,
+    "p3_similar": neardup.similar,
     "p4_doc_tokens": tokens.document_tokens,
     "p4_slices": tokens.slices,
     "p7_packed": packing.packed,

@@ -73,3 +73,54 @@ def test_classes(spark, tables):
 
 def test_prefix_depth():
     assert neardup.prefix_depth(20, 0.6) == 3 and neardup.prefix_depth(57, 0.6) == 5 and neardup.prefix_depth(1, 0.1) == 1
+
+
+def test_dense_nodes_get_longer_prefixes(spark, tmp_path, monkeypatch):
+    """One hot group of half-alike texts: nodes hold many times NODE classes, and no link is lost beyond the recall."""
+    rnd = random.Random(11)
+    base = [rnd.choice(WORDS) for _ in range(100)]
+    texts = {}
+    for i in range(240):
+        cut = rnd.randint(0, 45)
+        own = [rnd.choice(WORDS) for _ in range(cut)]
+        texts[i] = " ".join(base[: 100 - cut] + own)
+    spark.createDataFrame(list(texts.items()), "note_id long, content string").write.parquet(f"{tmp_path}/notes.parquet")
+    spark.createDataFrame([], "turn_id long, content string").write.parquet(f"{tmp_path}/turns.parquet")
+    spark.createDataFrame([], "conv_id long, title string").write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(neardup, "NODE", 16)
+    labels = []
+    real = neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, label: labels.append(label) or real(df, label))
+    got, want = {(r.id_a, r.id_b) for r in neardup.found(spark, str(tmp_path)).collect()}, brute(texts, 30, False)
+    assert {"met", "met-1", "met-2", "blocks"} <= set(labels)
+    assert got <= want and len(got) >= 0.985 * len(want) and len(want) > 5000
+
+
+def test_runs_across_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(2)
+    node = np.sort(rnd.integers(0, 400, 3000))
+    node[1000:1500] = node[1000]
+    node.sort()
+    cls = rnd.permutation(3000)
+    rows = pa.RecordBatch.from_arrays([pa.array(node), pa.array(cls), *[pa.array(np.zeros(3000, np.int64))] * 3], ["node", "cls", "s1", "s2", "side"])
+    for size in (7, 64, 3000):
+        out = [b.to_pylist() for b in neardup.meet(0, 40)(iter(rows.slice(i, size) for i in range(0, 3000, size)))]
+        flat = [(r["node"], r["a"], r["b"]) for part in out for r in part]
+        groups = {int(n): cls[node == n].tolist() for n in np.unique(node)}
+        want = {(n, min(a, b), max(a, b)) for n, c in groups.items() if len(c) <= 40 for i, a in enumerate(c) for b in c[i + 1 :]}
+        assert {x for x in flat if x[2] is not None} == want
+        assert sorted(x[:2] for x in flat if x[2] is None) == sorted((n, x) for n, c in groups.items() if len(c) > 40 for x in c)
+
+
+def test_a_key_with_several_texts_loses_no_link(spark, tmp_path):
+    rnd = random.Random(4)
+    one, two = ([rnd.choice(WORDS) for _ in range(n)] for n in (40, 90))
+    near = lambda words: " ".join([*words[:-2], "x", "y"])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, near(one)), (3, near(two))]
+    spark.createDataFrame(rows, "note_id long, content string").write.parquet(f"{tmp_path}/notes.parquet")
+    spark.createDataFrame([], "turn_id long, content string").write.parquet(f"{tmp_path}/turns.parquet")
+    spark.createDataFrame([], "conv_id long, title string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {(r.id_a, r.id_b) for r in neardup.found(spark, str(tmp_path)).collect()} == {(1, 2), (1, 3)}
