@@ -6,7 +6,7 @@ Labels are sorted by node, and runs of one node give the candidates. The prefix
 recall demands at the threshold (a longer one would lose pairs), and is made longer only where a node
 holds more than NODE classes: its members get a forest of their own inside the node, with further
 min-hashes and more trees, which keeps the recall. What is still dense after LEVELS such forests is alike
-in truth, and is compared in blocks. A 32-value sketch beside the label drops chance meetings; exact
+in truth, and is compared in blocks. A sketch of 32 two-bit values beside the label drops chance meetings; exact
 Jaccard similarity over shingle sets decides the rest.
 """
 
@@ -26,8 +26,6 @@ from inkspark.session import materialize
 
 WORD = r"[\p{L}\p{N}]+"
 SKETCH = 32
-#: Ids up to this many (under 1 MB) are broadcast to fetch candidates' texts; more are joined by a shuffle.
-BROADCAST_IDS = 20_000
 #: Classes of a node that are compared directly; more get longer prefixes, up to LEVELS forests in all.
 NODE, LEVELS = 256, 3
 #: Classes of up to this many copies are written out as all pairs, larger ones as pairs with their first record.
@@ -115,7 +113,7 @@ def shingle_hashes(units: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
 
 
 def signer(words: bool, k: int, trees: int, depth: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of id, units, text_hash: id, text_hash, class key, two sketch words, and the label prefix of each tree as one key."""
+    """For batches of id, units, text_hash: id, text_hash, class key, sketch, and the label prefix of each tree as one key."""
     rng = np.random.default_rng(seed)
     xor = rng.integers(0, 2**63, trees * depth + SKETCH, np.uint64)
     odd = rng.integers(0, 2**63, trees * depth + SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,32 +134,31 @@ def signer(words: bool, k: int, trees: int, depth: int, seed: int) -> Callable[[
                 for j in range(depth):
                     label = mix(label ^ low(t * depth + j))
                 keys[:, t] = label
-            sketch = np.zeros((2, len(b)), np.uint64)
+            sketch = np.zeros(len(b), np.uint64)
             for i in range(SKETCH):
-                sketch[i // 16] |= (mix(low(trees * depth + i)) & np.uint64(15)) << np.uint64(4 * (i % 16))
+                sketch |= (mix(low(trees * depth + i)) & np.uint64(3)) << np.uint64(2 * i)
             at_keys = pa.array(np.arange(len(b) + 1, dtype=np.int32) * trees)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), *(pa.array(x.view(np.int64)) for x in (cls, *sketch)), pa.ListArray.from_arrays(at_keys, pa.array(keys.ravel().view(np.int64)))],
-                ["id", "text_hash", "cls", "s1", "s2", "keys"],
+                [b.column(0), b.column(2), *(pa.array(x.view(np.int64)) for x in (cls, sketch)), pa.ListArray.from_arrays(at_keys, pa.array(keys.ravel().view(np.int64)))],
+                ["id", "text_hash", "cls", "sketch", "keys"],
             )
 
     return run
 
 
-SIGNED = "id long, text_hash long, cls long, s1 long, s2 long, keys array<long>"
+SIGNED = "id long, text_hash long, cls long, sketch long, keys array<long>"
 
 
 def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many of the 16 four-bit values of two words are equal."""
+    """How many of the 32 two-bit values of two sketches are equal."""
     x = (a ^ b).view(np.uint64)
     x = x | (x >> np.uint64(1))
-    x = x | (x >> np.uint64(2))
-    return 16 - np.bitwise_count(x & np.uint64(0x1111111111111111)).astype(int)
+    return SKETCH - np.bitwise_count(x & np.uint64(0x5555555555555555)).astype(int)
 
 
 def least_agreeing(threshold: float) -> int:
     """Sketch values that records at the threshold share, less three standard deviations."""
-    p = threshold + (1 - threshold) / 16
+    p = threshold + (1 - threshold) / 4
     return int(SKETCH * p - 3 * (SKETCH * p * (1 - p)) ** 0.5)
 
 
@@ -174,7 +171,7 @@ class Found:
 
 
 def meet(least: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of node, cls, s1, s2, side, sorted by node: node and pairs a < b that share one.
+    """For batches of node, cls, sketch, side, sorted by node: node and pairs a < b that share one.
 
     Pairs need at least so many sketch values in common, and different sides unless side is 0. Nodes with
     more than most rows give their members instead, each with a null b; no more rows than that are held.
@@ -184,14 +181,14 @@ def meet(least: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
         second = pa.nulls(len(a), pa.int64()) if b is None else pa.array(np.maximum(a, b))
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(a if b is None else np.minimum(a, b)), second], ["node", "a", "b"])
 
-    def pairs(node: np.ndarray, cls: np.ndarray, s1: np.ndarray, s2: np.ndarray, side: np.ndarray, first: np.ndarray, n: int) -> pa.RecordBatch:
+    def pairs(node: np.ndarray, cls: np.ndarray, sketch: np.ndarray, side: np.ndarray, first: np.ndarray, n: int) -> pa.RecordBatch:
         i, j = np.triu_indices(n, 1)
         x, y = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
-        near = (_agreeing(s1[x], s1[y]) + _agreeing(s2[x], s2[y]) >= least) & (cls[x] != cls[y]) & ((side[x] == 0) | (side[x] != side[y]))
+        near = (_agreeing(sketch[x], sketch[y]) >= least) & (cls[x] != cls[y]) & ((side[x] == 0) | (side[x] != side[y]))
         return out(node[x[near]], cls[x[near]], cls[y[near]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, dense = [np.empty(0, np.int64) for _ in range(5)], None
+        held, dense = [np.empty(0, np.int64) for _ in range(4)], None
         for b in _and_end(batches):
             if b is not None:
                 held = [np.append(h, c.to_numpy(zero_copy_only=False)) for h, c in zip(held, b.columns)]
@@ -225,8 +222,8 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
 
 
 def _met(rows: DataFrame, threshold: float, most: int, label: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b), and members (node, cls) of nodes with more than most rows, of node, cls, s1, s2, side."""
-    ordered = rows.select("node", "cls", "s1", "s2", "side").repartition("node").sortWithinPartitions("node")
+    """Pairs (a, b), and members (node, cls) of nodes with more than most rows, of node, cls, sketch, side."""
+    ordered = rows.select("node", "cls", "sketch", "side").repartition("node").sortWithinPartitions("node")
     all_met = materialize(ordered.mapInArrow(meet(least_agreeing(threshold), most), "node long, a long, b long"), label)
     return all_met.where("b is not null").select("a", "b"), all_met.where("b is null").select("node", F.col("a").alias("cls"))
 
@@ -234,13 +231,13 @@ def _met(rows: DataFrame, threshold: float, most: int, label: str) -> tuple[Data
 def texts_of(spark: SparkSession, sf_dir: str, kinds: tuple[Kind, ...], signed: DataFrame, wanted: DataFrame) -> dict[str, DataFrame]:
     """By kind: cls and units of one record of each wanted class, the one with the smallest id."""
     ids = materialize(signed.join(wanted, "cls", "left_semi").groupBy("rec_type", "cls").agg(F.min(F.struct("id", "text_hash")).alias("r")).select("rec_type", "cls", "r.*"), "wanted")
-    few, out = ids.count() <= BROADCAST_IDS, {}
+    out = {}
     for kind in kinds:
         want = ids.where(F.col("rec_type") == kind.name).select("id", "text_hash", "cls")
         rows = spark.read.parquet(f"{sf_dir}/{kind.table}.parquet").select(F.col(kind.key).alias("id"), F.col(kind.text).alias("text"))
-        rows = rows.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(want) if few else want, ["id", "text_hash"])
-        # Repeated rows of a key have one text.
-        out[kind.name] = rows.groupBy("cls").agg(F.first("text").alias("text")).select("cls", units_of("text", kind).alias("units"))
+        # Sorted on both sides whatever the size; repeated rows of a key then lie together.
+        rows = rows.withColumn("text_hash", F.xxhash64("text")).join(want.hint("merge"), ["id", "text_hash"])
+        out[kind.name] = rows.groupBy("id", "text_hash").agg(F.first("cls").alias("cls"), F.first("text").alias("text")).select("cls", units_of("text", kind).alias("units"))
     return out
 
 
@@ -259,8 +256,8 @@ def near_duplicates(spark: SparkSession, sf_dir: str, kinds: tuple[Kind, ...] =
     signed = materialize(reduce(DataFrame.unionByName, signed), "signatures")
     members = signed.select("rec_type", "cls", "id").distinct()
 
-    classes = signed.groupBy("cls").agg(F.min_by("keys", "id").alias("keys"), F.min("s1").alias("s1"), F.min("s2").alias("s2"))
-    labels = classes.select("cls", "s1", "s2", F.explode("keys").alias("node"), F.lit(0).cast("long").alias("side"))
+    classes = signed.groupBy("cls").agg(F.min_by("keys", "id").alias("keys"), F.min("sketch").alias("sketch"))
+    labels = classes.select("cls", "sketch", F.explode("keys").alias("node"), F.lit(0).cast("long").alias("side"))
     pairs, dense = _met(labels, threshold, NODE, "met")
     met = [pairs]
     for level in range(1, LEVELS):
@@ -272,9 +269,9 @@ def near_duplicates(spark: SparkSession, sf_dir: str, kinds: tuple[Kind, ...] =
             sign(units[kind.name].select(F.col("cls").alias("id"), "units", F.lit(0).cast("long").alias("text_hash")), kind, 7919 * (i + 1) + 104_729 * level, kind.trees * 3 // 2).drop("cls").withColumnRenamed("id", "cls")
             for i, kind in enumerate(kinds)
         ]
-        again = materialize(reduce(DataFrame.unionByName, again).select("cls", "s1", "s2", "keys"), f"signatures-{level}")
-        inner = dense.join(again, "cls").select("node", "cls", "s1", "s2", F.explode("keys").alias("key"))
-        inner = inner.select(F.xxhash64("node", "key").alias("node"), "cls", "s1", "s2", F.lit(0).cast("long").alias("side"))
+        again = materialize(reduce(DataFrame.unionByName, again).select("cls", "sketch", "keys"), f"signatures-{level}")
+        inner = dense.join(again, "cls").select("node", "cls", "sketch", F.explode("keys").alias("key"))
+        inner = inner.select(F.xxhash64("node", "key").alias("node"), "cls", "sketch", F.lit(0).cast("long").alias("side"))
         pairs, dense = _met(inner, threshold, NODE, f"met-{level}")
         met.append(pairs)
     if not dense.isEmpty():
@@ -298,12 +295,12 @@ def near_duplicates(spark: SparkSession, sf_dir: str, kinds: tuple[Kind, ...] =
 def _blocks(dense: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """All pairs of the members of each node, in pairs of blocks of about NODE members, so that no task holds a node."""
     sized = dense.groupBy("node").agg(F.ceil(F.count("*") / F.lit(NODE)).cast("int").alias("n_blocks"))
-    rows = dense.join(sized, "node").join(classes.select("cls", "s1", "s2"), "cls").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
+    rows = dense.join(sized, "node").join(classes.select("cls", "sketch"), "cls").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     place = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     # Blocks vary in size by chance only; four times the mean doesn't occur.
-    pairs, rest = _met(rows.select(place.alias("node"), "cls", "s1", "s2", side.cast("long").alias("side")), threshold, 8 * NODE + 64, "blocks")
+    pairs, rest = _met(rows.select(place.alias("node"), "cls", "sketch", side.cast("long").alias("side")), threshold, 8 * NODE + 64, "blocks")
     if not rest.isEmpty():
         raise RuntimeError("a block of more than eight times NODE members")
     return pairs

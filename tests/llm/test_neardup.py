@@ -51,7 +51,6 @@ def test_large_classes_are_stars(spark, tables, monkeypatch):
     folder, texts, titles = tables
     want = brute(titles, 20, True)
     monkeypatch.setattr(neardup, "SMALL_CLASS", 1)
-    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
     got = {(r.id_a, r.id_b) for r in neardup.found(spark, folder).where("rec_type = 'title'").collect()}
     link = {i: i for i in titles}
 
@@ -105,7 +104,7 @@ def test_runs_across_batches():
     node[1000:1500] = node[1000]
     node.sort()
     cls = rnd.permutation(3000)
-    rows = pa.RecordBatch.from_arrays([pa.array(node), pa.array(cls), *[pa.array(np.zeros(3000, np.int64))] * 3], ["node", "cls", "s1", "s2", "side"])
+    rows = pa.RecordBatch.from_arrays([pa.array(node), pa.array(cls), *[pa.array(np.zeros(3000, np.int64))] * 2], ["node", "cls", "sketch", "side"])
     for size in (7, 64, 3000):
         out = [b.to_pylist() for b in neardup.meet(0, 40)(iter(rows.slice(i, size) for i in range(0, 3000, size)))]
         flat = [(r["node"], r["a"], r["b"]) for part in out for r in part]
