@@ -27,7 +27,7 @@ from inkspark.session import materialize
 WORD = r"[\p{L}\p{N}]+"
 SKETCH = 32
 #: Classes of a node that are compared directly; more get longer prefixes, up to LEVELS forests in all.
-NODE, LEVELS = 256, 3
+NODE, LEVELS = 1024, 3
 #: Classes of up to this many copies are written out as all pairs, larger ones as pairs with their first record.
 SMALL_CLASS = 64
 
