@@ -35,6 +35,8 @@ def load_merges(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Merges:
     with open(f"{folder}/{name}.json", encoding="utf-8") as f:
         model = json.load(f)["model"]
     vocab, letters = model["vocab"], _byte_characters()
+    if max(vocab.values()) >= 1 << 16:
+        raise ValueError(f"{name} has ids above {(1 << 16) - 1}, and pairs are packed in 32 bits")
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.uint32)
     made = np.array([vocab[a + b] for a, b in pairs], np.int32)

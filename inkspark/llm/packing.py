@@ -21,7 +21,7 @@ from inkspark.llm.tokens import count_tokens, documents
 
 HASHED, DIMENSIONS, BITS = 4096, 3, 10
 #: Documents of a window, and containers kept open from one window to the next.
-WINDOW, OPEN = 4096, 256
+WINDOW, OPEN = 256, 32
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -99,6 +99,18 @@ class Packer:
         return out
 
 
+def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int]]]:
+    """The rows of all batches in runs of WINDOW, however the batches are cut."""
+    held: list[tuple[int, int]] = []
+    for b in batches:
+        held += zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+        while len(held) >= WINDOW:
+            yield held[:WINDOW]
+            held = held[WINDOW:]
+    if held:
+        yield held
+
+
 def pack(sized: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
     """key, part, container_id, n_tokens of sized (key, place, n_tokens).
 
@@ -108,8 +120,8 @@ def pack(sized: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, base = Packer(capacity), TaskContext.get().partitionId() << 32
-        for b in batches:
-            rows = packer.pack(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+        for window in windows(batches):
+            rows = packer.pack(window)
             item, part, container, size = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(part.astype(np.int32)), pa.array(container + base), pa.array(size)], ["key", "part", "container_id", "n_tokens"])
 

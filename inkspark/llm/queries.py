@@ -25,5 +25,5 @@ SQL: dict[str, str] = {
     "p1_found": """
         select distinct note_id from notes join embedding_config using (config_id)
         where note_id is not null and len(regexp_extract_all(content, '[^ \\t\\r\\n]+')) * 13 // 10 > chunk_size""",
-    "p6_decoded": "select doc_id, coalesce(length(text), 0)::bigint as n_chars from documents where doc_id is not null",
+    "p6_decoded": "select doc_id, coalesce(length(text), 0)::bigint as n_chars, sha256(coalesce(text, '')) as text_hash from documents where doc_id is not null",
 }

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"([^ \t\r\n]+)([ \t\r\n]*)")
 #: Strength of the boundary before a word.
 INSIDE, CLAUSE, SENTENCE, LINE, BLANK_LINE, RULE, HEADING = range(7)
-SPANS = "array<struct<start:int,core:int,end:int,words:int>>"
+SPANS = "array<struct<start:int,core:int,end:int,words:int,pieces:int>>"
 
 
 def words_of(text: str):
@@ -120,7 +120,24 @@ def spans(text: str, size: int, overlap: int) -> list[tuple[int, int, int, int]]
 
 
 def _spans(text: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
-    return pd.Series([[dict(zip(("start", "core", "end", "words"), s)) for s in spans(*x)] for x in zip(text, size, overlap)])
+    cut = [spans(*x) for x in zip(text, size, overlap)]
+    return pd.Series([[dict(zip(("start", "core", "end", "words"), s), pieces=len(c)) for s in c] for c in cut])
+
+
+def _large(text: str, size: str):
+    return F.col(text).isNotNull() & (F.col(size) > 0) & (tokens_of(words_of(text)) > F.col(size))
+
+
+def _cut(large: DataFrame, key: str) -> DataFrame:
+    """The pieces of key, text, size, overlap."""
+    spans_of = F.pandas_udf(_spans, SPANS)("text", F.col("size").cast("int"), F.coalesce("overlap", F.lit(0)).cast("int"))
+    # The number of pieces comes with each span, for a filter on it to stay behind the explode.
+    each = large.select(key, "text", F.posexplode(spans_of).alias("piece_idx", "s"))
+    s = F.col("s")
+    return each.select(
+        key, "piece_idx", s["pieces"].alias("n_pieces"), s["start"].alias("char_start"), s["core"].alias("core_start"), s["end"].alias("char_end"),
+        tokens_of(s["words"]).alias("n_tokens"), F.substring("text", s["start"] + 1, s["end"] - s["start"]).alias("piece"),
+    )
 
 
 def split_oversized(rows: DataFrame, key: str, text: str, size: str, overlap: str) -> DataFrame:
@@ -130,25 +147,17 @@ def split_oversized(rows: DataFrame, key: str, text: str, size: str, overlap: st
     overlap is 0. Other columns of rows are not read. piece is text[char_start:char_end]; it shares
     overlap tokens with the piece before, up to core_start.
     """
-    large = rows.select(
-        F.col(key), F.col(text).alias("text"), F.col(size).cast("int").alias("size"), F.coalesce(F.col(overlap), F.lit(0)).cast("int").alias("overlap")
-    ).where(F.col(key).isNotNull() & (F.col("size") > 0) & (tokens_of(words_of("text")) > F.col("size")))
-    cut = large.withColumn("spans", F.pandas_udf(_spans, SPANS)("text", "size", "overlap"))
-    each = cut.select(key, "text", F.size("spans").alias("n_pieces"), F.posexplode("spans").alias("piece_idx", "s"))
-    s = F.col("s")
-    return each.select(
-        key, "piece_idx", "n_pieces", s["start"].alias("char_start"), s["core"].alias("core_start"), s["end"].alias("char_end"),
-        tokens_of(s["words"]).alias("n_tokens"), F.substring("text", s["start"] + 1, s["end"] - s["start"]).alias("piece"),
-    )
+    rows = rows.select(F.col(key), F.col(text).alias("text"), F.col(size).alias("size"), F.col(overlap).alias("overlap"))
+    return _cut(rows.where(F.col(key).isNotNull() & _large("text", "size")), key)
 
 
 def note_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p1_pieces: the pieces of every note above the chunk_size of its config; repeated rows of a note count once (the first loaded)."""
     notes = spark.read.parquet(f"{sf_dir}/notes.parquet").select("note_id", "content", "config_id", "ingested_at")
     config = spark.read.parquet(f"{sf_dir}/embedding_config.parquet").groupBy("config_id").agg(F.max("chunk_size").alias("chunk_size"), F.max("chunk_overlap").alias("chunk_overlap"))
-    large = notes.join(config, "config_id").where(tokens_of(words_of("content")) > F.col("chunk_size"))
-    once = large.groupBy("note_id").agg(F.min_by(F.struct("content", "chunk_size", "chunk_overlap"), "ingested_at").alias("n")).select("note_id", "n.*")
-    return split_oversized(once, "note_id", "content", "chunk_size", "chunk_overlap")
+    large = notes.join(config, "config_id").where(F.col("note_id").isNotNull() & _large("content", "chunk_size"))
+    once = large.groupBy("note_id").agg(F.min_by(F.struct("content", "chunk_size", "chunk_overlap"), "ingested_at").alias("n"))
+    return _cut(once.select("note_id", F.col("n.content").alias("text"), F.col("n.chunk_size").alias("size"), F.col("n.chunk_overlap").alias("overlap")), "note_id")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,5 +261,5 @@ def corpus_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decoded_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p6_decoded: doc_id and length of the text that decoding the ids gives."""
-    return decode_corpus(corpus_ids(spark, sf_dir)).select("doc_id", F.length("text").cast("long").alias("n_chars"))
+    """p6_decoded: doc_id, length and SHA-256 of the text that decoding the ids gives."""
+    return decode_corpus(corpus_ids(spark, sf_dir)).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))

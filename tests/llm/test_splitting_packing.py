@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -78,3 +80,24 @@ def test_whole_queries(spark, data):
     packed = packing.packed(spark, data)
     assert packed.select("doc_id").distinct().count() == docs.count()
     assert packed.where("part > 0").count() == 0 or packed.agg(F.max("n_tokens")).first()[0] <= 8192
+
+
+def test_windows_do_not_hang_on_batches():
+    import pyarrow as pa
+
+    rows = [(i, i % 7) for i in range(1000)]
+    cut = lambda n: [pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows[i : i + n]]), pa.array([y for _, y in rows[i : i + n]])], ["key", "n"]) for i in range(0, 1000, n)]
+    a, b = list(packing.windows(iter(cut(10)))), list(packing.windows(iter(cut(777))))
+    assert a == b and [len(w) for w in a] == [packing.WINDOW] * (1000 // packing.WINDOW) + [1000 % packing.WINDOW] and sum(a, []) == rows
+
+
+def test_containers_hold_neighbours(spark):
+    """Documents of a container lie near on the curve, and containers are full."""
+    rnd = random.Random(8)
+    rows = spark.createDataFrame([(i, i * 10, rnd.randint(1, 900)) for i in range(6000)], "doc_id long, place long, n_tokens long")
+    by: dict = {}
+    for r in packing.pack(rows, 8192).collect():
+        by.setdefault(r.container_id, []).append((r.doc_id, r.n_tokens))
+    apart = [abs(a - b) for c in by.values() for (a, _), (b, _) in zip(c, c[1:])]
+    assert sum(apart) / len(apart) < 400  # 2,000 were they spread at random
+    assert sum(n for c in by.values() for _, n in c) / len(by) > 0.97 * 8192
