@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkspark.functions import text as T
 from inkspark.operators import chunking, conversations, ledger, retrieval, timestamps, vault
 from inkspark.plans.engine import contexts
+from inkspark.session import widened
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {"p5_found": timestamps.found, "p5_formats": timestamps.formats}
@@ -43,7 +44,7 @@ def turns_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("doc_id is not null")
-    return (docs.where(F.col("source_type") == kind) if kind else docs).select(F.col("doc_id").alias("id"), "text")
+    return widened((docs.where(F.col("source_type") == kind) if kind else docs).select(F.col("doc_id").alias("id"), "text"))
 
 
 def title_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
