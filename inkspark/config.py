@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, fields
 from pathlib import Path
 
-STRATEGIES = ("structure", "sentences", "paragraphs")
+STRATEGIES = ("obsidian_aware", "markdown_semantic", "semantic", "markdown", "late_chunking", "simple")
 TRANSFORMS = ("none", "hyde", "multi_query", "both")
 
 
@@ -16,7 +16,7 @@ class Settings:
     """Chunking, search and loop settings; a value out of its range raises ValueError."""
 
     vault: str = ""
-    strategy: str = "structure"
+    strategy: str = "obsidian_aware"
     chunk_size: int = 512
     chunk_overlap: int = 75
     alpha: float = 0.7
@@ -32,6 +32,7 @@ class Settings:
     research_rounds: int = 3
     research_confidence: float = 0.8
     cutoff: float = 0.0
+    rerank_limit: int = 200_000_000
 
     def __post_init__(self) -> None:
         def need(ok: bool, what: str) -> None:

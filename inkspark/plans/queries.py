@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkspark.functions import plugs
 from inkspark.functions import text as T
 from inkspark.operators import chunking, conversations, ledger, retrieval, timestamps, vault
 from inkspark.plans.engine import contexts
@@ -210,7 +212,29 @@ def conversation_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def conversation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations.chunks(turns_once(spark, sf_dir))
+    """Chunks of every conversation, with text."""
+    return conversations.chunks(turns_once(spark, sf_dir), 512, table(spark, sf_dir, "conversations"))
+
+
+#: White space as Python's splitting has it.
+SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+
+
+def ink_sql(column: str) -> str:
+    return f"length(regexp_replace({column}, '{SPACE}', '', 'g'))"
+
+
+
+def _ink(text: str) -> Column:
+    return F.length(F.regexp_replace(text, SPACE, ""))
+
+
+@query(f"""with {TURNS}, t as (select conv_id, sum({ink_sql("content")}) + sum(3 + length({ROLE.replace("role", "coalesce(role, 'unknown')")})) ink from turns1 where {WITH_CONTENT} and conv_id is not null group by 1),
+    c as (select conv_id, min(title) title from conversations group by 1)
+    select t.conv_id, (ink + case when trim(coalesce(title, '')) <> '' then 1 + {ink_sql("title")} else 0 end)::bigint ink, false too_large from t left join c using (conv_id)""")
+def conversation_chunk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters in the chunks of each conversation, and whether one is above the size: nothing is lost or written twice."""
+    return conversation_chunks(spark, sf_dir).groupBy("conv_id").agg(F.sum(_ink("text")).alias("ink"), (F.max("n_tokens") > 512).alias("too_large"))
 
 
 @query(f"""with {TURNS} select case when upper(content) like '%INCORRECT%' then 'incorrect' when upper(content) like '%AMBIGUOUS%' then 'ambiguous' when upper(content) like '%CORRECT%' then 'correct' else 'ambiguous' end grade,
@@ -222,15 +246,40 @@ def graded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Chunkers and vectors.
 
 
-def _chunked(strategy: str) -> Query:
+def _sized_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = notes_once(spark, sf_dir).join(table(spark, sf_dir, "embedding_config"), "config_id")
+    return rows.select("note_id", "content", "chunk_size", "chunk_overlap")
+
+
+def _folded(strategy: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = notes_once(spark, sf_dir).join(table(spark, sf_dir, "embedding_config"), "config_id")
-        return chunking.chunk(rows.select("note_id", "content", "chunk_size", "chunk_overlap"), "note_id", "content", strategy, F.col("chunk_size"), F.col("chunk_overlap"))
+        return chunking.chunk(_sized_notes(spark, sf_dir), "note_id", "content", strategy, F.col("chunk_size"), F.col("chunk_overlap"))
 
     return run
 
 
-QUERIES |= {f"{name}_chunks": _chunked(name) for name in chunking.STRATEGIES}
+def _split(strategy: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return chunking.split(_sized_notes(spark, sf_dir), "note_id", "content", strategy, F.col("chunk_size"), F.col("chunk_overlap"), plugs.hashing_embedder())
+
+    return run
+
+
+QUERIES |= {f"{name}_chunks": _folded(name) for name in chunking.FOLDS}
+QUERIES |= {f"{name}_split": _split(name) for name in chunking.STRATEGIES}
+
+
+@query(rf"""with {NOTES}, w as (select note_id, content, chunk_size from notes1 join embedding_config using (config_id) where content is not null and trim(content, E' \t\r\n') <> ''),
+    s as (select unnest(['markdown', 'markdown_semantic', 'obsidian_aware', 'paragraphs', 'semantic', 'structure']) strategy)
+    select strategy, note_id, {ink_sql("content")}::bigint ink, case when strategy not in ('markdown', 'structure') then false end too_large from w, s""")
+def chunk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters in the chunks of each note by the strategies without overlap, and whether one is above the size where that can't be: nothing is lost or written twice."""
+    limits, parts = _sized_notes(spark, sf_dir).select("note_id", "chunk_size"), []
+    for name in ("structure", "paragraphs", "obsidian_aware", "markdown_semantic", "semantic", "markdown"):
+        cut = (_folded if name in chunking.FOLDS else _split)(name)(spark, sf_dir).select("note_id", "text", "n_tokens").join(limits, "note_id")
+        large = F.max(F.col("n_tokens") > F.col("chunk_size")) if name not in ("structure", "markdown") else F.lit(None).cast("boolean")
+        parts.append(cut.groupBy("note_id").agg(F.sum(_ink("text")).alias("ink"), large.alias("too_large")).select(F.lit(name).alias("strategy"), "*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("""with d as (select *, lead(embedding) over (partition by label order by vec_id) nxt from embeddings),

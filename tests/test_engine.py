@@ -36,3 +36,18 @@ def test_contexts(spark):
     assert [tuple(r) for r in contexts(hits).collect()] == [(1, "[1] a\n\n[2] b")]
     rows = contextualize(hits, lambda p: "about " + p[-1]).orderBy("query_id", "rank").collect()
     assert [r.text for r in rows] == ["about a\n\na", "about b\n\nb", None]
+
+
+def test_answer_usage_and_quota(spark):
+    ship(spark)
+    notes = spark.createDataFrame([("n1", "Foxes", "The red fox runs far."), ("n2", "Bread", "Bake the bread slowly.")], "path string, title string, content string")
+    engine = Engine(spark, Settings(rerank_n=1, strategy="late_chunking"), generate=lambda p: "reply to " + p.rsplit("\n", 1)[-1])
+    engine.index(notes)
+    got = engine.answer("red fox")
+    assert got["answer"] == "reply to red fox" and [s["path"] for s in got["sources"]] == ["n1"]
+    used = {r.ledger: (r.tokens_used, r.requests) for r in engine.usage_totals().collect()}
+    assert used["embedding"][0] == (21 + 22) * 2 // 7 and used["rerank"][1] == 1
+    engine.settings = Settings(rerank_n=1, rerank_limit=used["rerank"][0])
+    assert engine.search("red fox").count() == 1 and len(engine.usage) == 2  # the quota is used up: fused order, nothing recorded
+    engine.steps = (lambda hits: hits.where("rank > 5"),)
+    assert engine.search("red fox").count() == 0 and engine.answer("red fox")["answer"] is None

@@ -107,7 +107,8 @@ def test_turns(spark):
     assert (t.n_turns, t.n_user) == (3, 2)
     assert conversations.render(turns(spark)).first().text.startswith("### USER\n\nhi there\n\n### ASSISTANT (10:00)\n\nx")
     c = conversations.chunks(turns(spark), 100).orderBy("chunk").collect()
-    assert [(r.chunk, r.first_turn, r.last_turn) for r in c] == [(0, 0, 0), (1, 1, 1), (2, 3, 3)]
+    # The turn above the size is cut, into chunks of its own.
+    assert [r.chunk for r in c] == list(range(len(c))) and [(r.first_turn, r.last_turn) for r in c] == [(0, 0), *[(1, 1)] * (len(c) - 2), (3, 3)] and max(r.n_tokens for r in c) <= 100
 
 
 def test_chunkers():
@@ -191,3 +192,79 @@ def test_research(spark):
     out = loops.research("q", search_in(spark, calls), g)
     assert calls == ["q", "when?"] and [r["confidence"] for r in out.log] == [0.3, 0.9]
     assert {r.id: r.score for r in out.hits.collect()} == pytest.approx({1: 0.7, 2: 0.3, 3: 0.3})
+
+
+def test_no_chunk_above_its_size():
+    """Short parts lose no fractions, and parts that are too large alone are cut."""
+    text = "\n\n".join(" ".join(f"One{i}{j} two three." for j in range(9)) for i in range(12)) + "\n\n" + "word " * 300
+    for size in (8, 21, 50):
+        for parts in (chunking.sentences(text, size, size // 3), chunking.paragraphs(text, size)):
+            assert all(len(p.split()) * 13 // 10 <= size for p in parts) and sum(p.count("word") for p in parts) >= 300
+    lines = chunking.structure("\n".join(["a b"] * 20 + [""] + ["c d"] * 20), 20)
+    assert len(lines) == 2 and all(len(x.split()) == 40 for x in lines)
+
+
+def test_strategies(spark):
+    body = "# A\n\n" + "Cats purr softly. " * 30 + "Stars burn hydrogen. " * 30 + "\n## B\n\nshort one.\n"
+    rows = spark.createDataFrame([(1, body, "x"), (2, None, "x"), (3, "  \n", "x"), (4, "one. two.", "x")], "id long, t string, chunk string")
+    got = {}
+    for name in chunking.STRATEGIES:
+        out = chunking.split(rows, "id", "t", name, F.lit(60), F.lit(10), plugs.hashing_embedder()).collect()
+        by = got[name] = [r for r in sorted(out, key=lambda r: r.chunk) if r.id == 1]
+        assert {r.id for r in out} == {1, 4} and [r.chunk for r in by] == list(range(len(by))), name
+        assert name == "markdown" or max(r.n_tokens for r in by) <= 60, name
+    assert len(got["markdown"]) == 2 and len(got["obsidian_aware"]) > 4
+    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-9 for r in got["late_chunking"])
+
+
+def test_semantic_cuts_where_meaning_turns(spark):
+    text = " ".join(["The cat sat on the mat."] * 12 + ["Stars burn hydrogen quickly."] * 12)
+    out = chunking.semantic(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t", plugs.hashing_embedder()).orderBy("chunk").collect()
+    assert len(out) >= 2 and "Stars" not in out[0].text and "cat" not in out[-1].text and sum(r.text.count(".") for r in out) == 24
+
+
+def test_conversation_chunks_have_text(spark):
+    rows = [(1, 7, 0, "user", "hi there"), (2, 7, 1, "Assistant", "Long answer one. " * 60), (3, 7, 2, "user", "ok"), (4, 8, 0, None, "alone"), (5, 8, 1, "user", None)]
+    turns = spark.createDataFrame(rows, "turn_id long, conv_id long, turn_index int, role string, content string")
+    titles = spark.createDataFrame([(7, "My title"), (7, "My title"), (8, None)], "conv_id long, title string")
+    out = conversations.chunks(turns, 50, titles).orderBy("conv_id", "chunk").collect()
+    seven = [r for r in out if r.conv_id == 7]
+    assert seven[0].text == "# My title\n\n### USER\n\nhi there" and max(r.n_tokens for r in seven) <= 50 and len(seven) > 4
+    assert sum(r.text.count("Long") for r in seven) == 60 and seven[-1].text.endswith("### USER\n\nok") and [r.text for r in out if r.conv_id == 8] == ["### UNKNOWN\n\nalone"]
+
+
+def test_vector_search_in_blocks_and_sent(spark, monkeypatch):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    vectors = np.round(rnd.normal(size=(300, 8)), 1)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(900, None)], "id long, embedding array<double>").repartition(3)
+    asked = rows.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    score = np.round(vectors[::20] @ vectors.T, 6)
+    want = {(int(q) * 20, int(i), r + 1) for q in range(len(score)) for r, i in enumerate(sorted(range(300), key=lambda i: (-score[q, i], i))[:7])}
+    for sent in (4_000_000, 16):
+        monkeypatch.setattr(retrieval, "SENT", sent)
+        assert {(r.query_id, r.id, r["rank"]) for r in retrieval.vector_top_k(rows, asked, 7).collect()} == want
+
+
+def test_bm25_against_brute_force(spark, monkeypatch):
+    import math
+    import random
+
+    rnd = random.Random(2)
+    words = [f"t{i}" for i in range(40)]
+    docs = {i: [rnd.choice(words[: rnd.choice((3, 10, 40))]) for _ in range(rnd.randint(0, 30))] for i in range(200)}
+    asks = {i: rnd.sample(words, 4) + words[:2] for i in range(12)}
+    mean = sum(map(len, docs.values())) / len(docs)
+    df = {w: sum(w in d for d in docs.values()) for w in words}
+    weigh = lambda w, d: math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / mean))
+    want = set()
+    for q, terms in asks.items():
+        scored = [(-round(sum(weigh(w, d) for w in set(terms) if w in d), 6), i) for i, d in docs.items() if set(terms) & set(d)]
+        want |= {(q, i, r + 1) for r, (_, i) in enumerate(sorted(scored)[:5])}
+    corpus = spark.createDataFrame([(i, " ".join(d)) for i, d in docs.items()] + [(900, None)], "id long, text string").where("id < 900")
+    queries = spark.createDataFrame([(q, " ".join(t)) for q, t in asks.items()], "query_id long, text string")
+    for few in (100_000, 0):
+        monkeypatch.setattr(retrieval, "TERMS_SENT", few)
+        got = {(r.query_id, r.id, r["rank"]) for r in retrieval.bm25(corpus, queries, 5).collect()}
+        assert len(got ^ want) <= 2  # sums in another order may round to another sixth place
