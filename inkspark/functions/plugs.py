@@ -56,15 +56,10 @@ def hypothetical(question: str, generate: Generator) -> str:
 def expand(question: str, generate: Generator, n: int = 3) -> list[str]:
     """The question and up to n - 1 other wordings; only the question where the generator fails."""
     try:
-        lines = [x.strip() for x in generate(f"Give {n} other wordings, one a line.\n{question}").splitlines()]
+        reply = generate(f"Give {n} other wordings, one a line.\n{question}")
     except Exception:
         return [question]
-    out = [question]
-    for x in lines:
-        x = x.lstrip("0123456789").lstrip(".) ") if x[:1].isdigit() else x
-        if x and x[0] not in "#-*" and x not in out:
-            out.append(x)
-    return out[:n]
+    return T.read(reply, wordings=T.variations(F.lit(question), F.col("reply"), n)).wordings
 
 
 def transform(question: str, mode: str, generate: Generator, n: int = 3) -> list[str]:

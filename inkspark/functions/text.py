@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Row, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}]+"
@@ -94,9 +94,15 @@ def numbered_lines(reply: Column, most: int) -> Column:
 def variations(query: Column, reply: Column, most: int) -> Column:
     """The query and up to most - 1 variations; headings and bullets are left out."""
     lines = F.filter(numbered_lines(reply, 1000), lambda x: ~x.rlike(r"^[#*-]") & (x != query))
-    return F.slice(F.concat(F.array(query), lines), 1, most)
+    return F.slice(F.array_distinct(F.concat(F.array(query), lines)), 1, most)
 
 
 def verdict(reply: Column) -> Column:
     """False if the first line says INVALID, else true."""
     return ~F.upper(F.split(reply, r"\r?\n")[0]).contains("INVALID")
+
+
+def read(reply: str, **parts: Column) -> Row:
+    """The parts, columns over reply, of one reply: what the loops use on the driver, by the same rules as whole tables."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    return spark.createDataFrame([(reply,)], "reply string").select(*[c.alias(name) for name, c in parts.items()]).first()

@@ -59,14 +59,14 @@ METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_rec
 WEIGHTS = (0.3, 0.3, 0.2, 0.2)
 
 
-def report(scores: DataFrame) -> DataFrame:
+def report(scores: DataFrame, metrics: tuple[str, ...] = METRICS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """One row: number of cases, mean of each metric and weighted overall, rounded to six places; NaN counts as missing."""
-    clean = scores.select(*[F.nanvl(m, F.lit(None).cast("double")).alias(m) for m in METRICS])
-    means = clean.agg(F.count("*").alias("n_cases"), *[F.avg(m).alias(m) for m in METRICS])
-    overall = sum(F.coalesce(m, F.lit(0.0)) * w for m, w in zip(METRICS, WEIGHTS))
-    return means.select("n_cases", *[F.round(m, 6).alias(m) for m in METRICS], F.round(overall, 6).alias("overall"))
+    clean = scores.select(*[F.nanvl(m, F.lit(None).cast("double")).alias(m) for m in metrics])
+    means = clean.agg(F.count("*").alias("n_cases"), *[F.avg(m).alias(m) for m in metrics])
+    overall = sum(F.coalesce(m, F.lit(0.0)) * w for m, w in zip(metrics, weights))
+    return means.select("n_cases", *[F.round(m, 6).alias(m) for m in metrics], F.round(overall, 6).alias("overall"))
 
 
-def failed(scores: DataFrame, threshold: float) -> DataFrame:
+def failed(scores: DataFrame, threshold: float, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """Cases whose lowest metric is below the threshold; NaN and null count as missing."""
-    return scores.where(F.least(*[F.nanvl(m, F.lit(None).cast("double")) for m in METRICS]) < threshold)
+    return scores.where(F.least(*[F.nanvl(m, F.lit(None).cast("double")) for m in metrics]) < threshold)

@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkspark.functions import text as T
 from inkspark.functions.plugs import Generator
 
 #: Takes a question, gives id, score, rank and text.
 Search = Callable[[str], DataFrame]
-RANKS = {"incorrect": 1, "ambiguous": 2, "correct": 3}
-
-
-def read_grade(reply: str) -> str:
-    r = reply.upper()
-    return "incorrect" if "INCORRECT" in r else "ambiguous" if "AMBIGUOUS" in r else "correct" if "CORRECT" in r else "ambiguous"
 
 
 def _sample(hits: DataFrame, rows: int, chars: int) -> list[str]:
@@ -39,7 +33,7 @@ def self_correct(question: str, search: Search, generate: Generator, max_retries
         if attempt:
             hits = search(asked)
         sample = _sample(hits, 3, 500)
-        grade = RANKS[read_grade(generate(f"Grade CORRECT, AMBIGUOUS or INCORRECT.\n{question}\n" + "\n".join(sample)))] if sample else 0
+        grade = T.read(generate(f"Grade CORRECT, AMBIGUOUS or INCORRECT.\n{question}\n" + "\n".join(sample)), rank=T.grade_rank(T.grade(F.col("reply")))).rank if sample else 0
         if grade > best_rank:
             best, best_rank = hits, grade
         if grade == 3:
@@ -57,6 +51,10 @@ class Research:
     hits: DataFrame
     log: list[dict] = field(default_factory=list)
 
+    def summary(self) -> str:
+        """A line for each round: question, confidence, and the first 100 characters of the gap."""
+        return "\n".join(f"Round {r['round'] + 1}: {r['question']} (confidence {r['confidence']:.2f}" + (f", gap: {r['gap'][:100]})" if r["gap"] else ")") for r in self.log)
+
 
 def research(question: str, search: Search, generate: Generator, rounds: int = 3, enough: float = 0.8, k: int = 10) -> Research:
     """Search, ask for gaps, and search for the first of them, until confident, without gaps, or out of rounds.
@@ -70,14 +68,12 @@ def research(question: str, search: Search, generate: Generator, rounds: int = 3
         merged = both.groupBy("id").agg(F.max("score").alias("score"), F.min_by("text", "seen").alias("text"), F.min("seen").alias("seen"))
         first = [r.t for r in merged.orderBy("seen").limit(5).select(F.substring("text", 1, 400).alias("t")).collect()]
         reply = generate(f"CONFIDENCE: 0 to 1, and GAPS.\n{question}\n" + "\n".join(first))
-        said = re.findall(r"(?im)^\s*CONFIDENCE:\s*(-?\d*\.?\d+)", reply)
-        sure = min(1.0, max(0.0, float(said[-1]))) if said else 0.5
-        lines = [x.strip() for x in re.findall(r"(?im)^\s*GAPS:\s*(.*)$", reply)]
-        gap = lines[-1] if lines and lines[-1].lower() not in ("", "none", "no gaps", "n/a") else None
+        said = T.read(reply, sure=T.confidence(F.col("reply")), gap=T.gaps(F.col("reply")))
+        sure, gap = said.sure, said.gap
         log.append({"round": i, "question": asked, "confidence": sure, "gap": gap})
         if sure >= enough or not gap or i == rounds - 1:
             break
-        more = [re.sub(r"^\d+[.)]\s*", "", x.strip()) for x in generate(f"Questions for the gap, one a line.\n{gap}").splitlines() if x.strip()]
+        more = T.read(generate(f"Questions for the gap, one a line.\n{gap}"), lines=T.numbered_lines(F.col("reply"), 1)).lines
         if not more:
             break
         asked = more[0]

@@ -237,10 +237,33 @@ def conversation_chunk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_chunks(spark, sf_dir).groupBy("conv_id").agg(F.sum(_ink("text")).alias("ink"), (F.max("n_tokens") > 512).alias("too_large"))
 
 
-@query(f"""with {TURNS} select case when upper(content) like '%INCORRECT%' then 'incorrect' when upper(content) like '%AMBIGUOUS%' then 'ambiguous' when upper(content) like '%CORRECT%' then 'correct' else 'ambiguous' end grade,
-    count(*) n_turns from turns1 group by 1""")
+#: Replies of a model, made of the turns so that every kind of reply occurs: a grade, a confidence, gaps and questions.
+REPLY = """case turn_id % 4 when 0 then 'INCORRECT' when 1 then 'Ambiguous' when 2 then 'Correct.' else 'no grade' end || chr(10) || '1. ' || substring(coalesce(content, ''), 1, 60) || chr(10) || '# more' || chr(10)
+    || '2) of ' || turn_id || chr(10) || case turn_id % 5 when 0 then 'sure' else 'Confidence: ' || case turn_id % 5 when 1 then '0.25' when 2 then '7' when 3 then '-1' else '0.9' end end || chr(10) || 'GAPS: ' || case turn_id % 3 when 0 then 'None' when 1 then 'n/a' else 'what of ' || conv_id end"""
+REPLIES = f"{TURNS}, replies as (select turn_id, {REPLY} reply from turns1)"
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = turns_once(spark, sf_dir)
+    return turns.select("turn_id", F.expr(REPLY.replace("chr(10)", "'\\n'")).alias("reply"))
+
+
+@query(f"""with {REPLIES} select case when upper(reply) like '%INCORRECT%' then 'incorrect' when upper(reply) like '%AMBIGUOUS%' then 'ambiguous' when upper(reply) like '%CORRECT%' then 'correct' else 'ambiguous' end grade,
+    count(*) n_turns from replies where reply is not null group by 1""")
 def graded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns_once(spark, sf_dir).groupBy(T.grade(F.col("content")).alias("grade")).agg(F.count("*").alias("n_turns"))
+    return _replies(spark, sf_dir).where("reply is not null").groupBy(T.grade(F.col("reply")).alias("grade")).agg(F.count("*").alias("n_turns"))
+
+
+@query(rf"""with {REPLIES}, x as (select turn_id, reply, regexp_extract_all(reply, '(?im)^[ \t]*CONFIDENCE:[ \t]*(-?[0-9.]+)', 1)[-1] said, trim(regexp_extract_all(reply, '(?im)^[ \t]*GAPS:[ \t]*(.*)$', 1)[-1]) gap,
+        list_filter(list_transform(string_split(reply, chr(10)), lambda l: trim(l)), lambda l: l <> '') lines from replies where reply is not null)
+    select turn_id, greatest(0, least(1, coalesce(said::double, 0.5)))::double confidence, case when lower(gap) in ('none', 'n/a') then null else gap end gaps,
+        array_to_string(list_transform(lines, lambda l: trim(regexp_replace(l, '^\d+[.)]\s*', '')))[1:3], ' / ') questions, upper(string_split(reply, chr(10))[1]) not like '%INVALID%' valid from x""")
+def reply_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence, gaps, first questions and verdict of every reply."""
+    r = F.col("reply")
+    return _replies(spark, sf_dir).where("reply is not null").select(
+        "turn_id", T.confidence(r).alias("confidence"), T.gaps(r).alias("gaps"), F.array_join(T.numbered_lines(r, 3), " / ").alias("questions"), T.verdict(r).alias("valid")
+    )
 
 
 # Chunkers and vectors.
@@ -418,20 +441,18 @@ def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir)
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offline stand-ins of the four scores, from the ranking metrics."""
-    return _metrics(spark, sf_dir).select("query_id", F.col("ndcg").alias("faithfulness"), F.col("mrr").alias("answer_relevancy"), F.col("precision").alias("context_precision"), F.col("recall").alias("context_recall"))
+RANKING, RANK_WEIGHTS = ("ndcg", "mrr", "precision", "recall"), (0.3, 0.3, 0.2, 0.2)
 
 
-@query(f"""with {METRICS} select count(*) n_cases, round(avg(ndcg), 6) faithfulness, round(avg(mrr), 6) answer_relevancy, round(avg("precision"), 6) context_precision, round(avg(recall), 6) context_recall,
+@query(f"""with {METRICS} select count(*) n_cases, round(avg(ndcg), 6) ndcg, round(avg(mrr), 6) mrr, round(avg("precision"), 6) "precision", round(avg(recall), 6) recall,
     round(0.3::double * avg(ndcg) + 0.3::double * avg(mrr) + 0.2::double * avg("precision") + 0.2::double * avg(recall), 6) overall from m""")
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.report(_scores(spark, sf_dir))
+    return ledger.report(_metrics(spark, sf_dir), RANKING, RANK_WEIGHTS)
 
 
-@query(f"""with {METRICS} select query_id, ndcg faithfulness, mrr answer_relevancy, "precision" context_precision, recall context_recall from m where least(ndcg, mrr, "precision", recall) < 0.5""")
+@query(f"""with {METRICS} select * from m where least(ndcg, mrr, "precision", recall) < 0.05""")
 def evaluation_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.failed(_scores(spark, sf_dir), 0.5)
+    return ledger.failed(_metrics(spark, sf_dir), 0.05, RANKING)
 
 
 # Ledger, caches and incremental loads.
@@ -478,8 +499,12 @@ def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.not_processed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), "doc_id").select("doc_id", "source_type")
 
 
-@query(f"""with {NOTES}, old as (select note_id, content from notes1 where ingested_at < timestamp '2025-01-01')
-    select note_id, case when old.note_id is null then 'new' end change from notes1 left join old using (note_id) where old.note_id is null""")
+@query(f"""with {NOTES}, old as (select note_id, case when note_id % 7 = 0 then upper(content) else content end content from notes1 where ingested_at < timestamp '2025-06-01'),
+    new as (select note_id, content from notes1 where note_id % 11 <> 0)
+    select coalesce(new.note_id, old.note_id) note_id, case when old.note_id is null then 'new' when new.note_id is null then 'deleted' else 'changed' end change
+    from new full join old on new.note_id = old.note_id where old.note_id is null or new.note_id is null or coalesce(old.content, '') <> coalesce(new.content, '')""")
 def incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against an earlier load, in which some notes were other and from which some are gone since."""
     notes = notes_once(spark, sf_dir)
-    return ledger.changes(notes.where("ingested_at < timestamp '2025-01-01 00:00:00 UTC'"), notes, "note_id", "content")
+    old = notes.where("ingested_at < timestamp '2025-06-01 00:00:00 UTC'").withColumn("content", F.expr("case when note_id % 7 = 0 then upper(content) else content end"))
+    return ledger.changes(old, notes.where("note_id % 11 <> 0"), "note_id", "content")
