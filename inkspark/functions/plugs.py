@@ -59,7 +59,7 @@ def expand(question: str, generate: Generator, n: int = 3) -> list[str]:
         reply = generate(f"Give {n} other wordings, one a line.\n{question}")
     except Exception:
         return [question]
-    return T.read(reply, wordings=T.variations(F.lit(question), F.col("reply"), n)).wordings
+    return T.read(reply, wordings=lambda r: T.variations(F.lit(question), r, n)).wordings
 
 
 def transform(question: str, mode: str, generate: Generator, n: int = 3) -> list[str]:

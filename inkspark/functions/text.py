@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,7 +104,7 @@ def verdict(reply: Column) -> Column:
     return ~F.upper(F.split(reply, r"\r?\n")[0]).contains("INVALID")
 
 
-def read(reply: str, **parts: Column) -> Row:
-    """The parts, columns over reply, of one reply: what the loops use on the driver, by the same rules as whole tables."""
+def read(reply: str, **parts: Callable[[Column], Column]) -> Row:
+    """The parts, made of the column they are given, of one reply: what the loops use on the driver, by the same rules as whole tables."""
     spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-    return spark.createDataFrame([(reply,)], "reply string").select(*[c.alias(name) for name, c in parts.items()]).first()
+    return spark.createDataFrame([(reply,)], "reply string").select(*[make(F.col("reply")).alias(name) for name, make in parts.items()]).first()

@@ -33,7 +33,7 @@ def self_correct(question: str, search: Search, generate: Generator, max_retries
         if attempt:
             hits = search(asked)
         sample = _sample(hits, 3, 500)
-        grade = T.read(generate(f"Grade CORRECT, AMBIGUOUS or INCORRECT.\n{question}\n" + "\n".join(sample)), rank=T.grade_rank(T.grade(F.col("reply")))).rank if sample else 0
+        grade = T.read(generate(f"Grade CORRECT, AMBIGUOUS or INCORRECT.\n{question}\n" + "\n".join(sample)), rank=lambda r: T.grade_rank(T.grade(r))).rank if sample else 0
         if grade > best_rank:
             best, best_rank = hits, grade
         if grade == 3:
@@ -68,12 +68,12 @@ def research(question: str, search: Search, generate: Generator, rounds: int = 3
         merged = both.groupBy("id").agg(F.max("score").alias("score"), F.min_by("text", "seen").alias("text"), F.min("seen").alias("seen"))
         first = [r.t for r in merged.orderBy("seen").limit(5).select(F.substring("text", 1, 400).alias("t")).collect()]
         reply = generate(f"CONFIDENCE: 0 to 1, and GAPS.\n{question}\n" + "\n".join(first))
-        said = T.read(reply, sure=T.confidence(F.col("reply")), gap=T.gaps(F.col("reply")))
+        said = T.read(reply, sure=T.confidence, gap=T.gaps)
         sure, gap = said.sure, said.gap
         log.append({"round": i, "question": asked, "confidence": sure, "gap": gap})
         if sure >= enough or not gap or i == rounds - 1:
             break
-        more = T.read(generate(f"Questions for the gap, one a line.\n{gap}"), lines=T.numbered_lines(F.col("reply"), 1)).lines
+        more = T.read(generate(f"Questions for the gap, one a line.\n{gap}"), lines=lambda r: T.numbered_lines(r, 1)).lines
         if not more:
             break
         asked = more[0]
