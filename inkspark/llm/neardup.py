@@ -30,6 +30,8 @@ SKETCH = 32
 NODE, LEVELS = 256, 3
 #: Classes of up to this many copies are written out as all pairs, larger ones as pairs with their first record.
 SMALL_CLASS = 64
+#: Bits of the bitmap that keeps texts nobody wants out of a shuffle; with 4,096 rows of 4 kB it is 16 MB at most.
+BITS = 2**27
 
 
 @dataclass(frozen=True)
@@ -228,15 +230,35 @@ def _met(rows: DataFrame, threshold: float, most: int, label: str) -> tuple[Data
     return all_met.where("b is not null").select("a", "b"), all_met.where("b is null").select("node", F.col("a").alias("cls"))
 
 
+def marked(hashes: DataFrame, column: str) -> DataFrame:
+    """bucket and bits: a bitmap of BITS bits with one set for each hash, in at most BITS / 32,768 rows."""
+    place = F.pmod(F.col(column), F.lit(BITS))
+    return hashes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+
+
+def maybe_marked(rows: DataFrame, column: str, marks: DataFrame) -> DataFrame:
+    """The rows whose hash has its bit set in marks: all that were marked, and few others while fewer than BITS hashes are."""
+    place = F.pmod(F.col(column), F.lit(BITS))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = rows.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(marks), "bucket")
+    return near.where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("bucket", "bits")
+
+
 def texts_of(spark: SparkSession, sf_dir: str, kinds: tuple[Kind, ...], signed: DataFrame, wanted: DataFrame) -> dict[str, DataFrame]:
-    """By kind: cls and units of one record of each wanted class, the one with the smallest id."""
+    """By kind: cls and units of one record of each wanted class, the one with the smallest id.
+
+    Texts are sorted to their classes whatever their number, but only those whose hash may be a wanted one.
+    """
     ids = materialize(signed.join(wanted, "cls", "left_semi").groupBy("rec_type", "cls").agg(F.min(F.struct("id", "text_hash")).alias("r")).select("rec_type", "cls", "r.*"), "wanted")
+    marks = materialize(marked(ids, "text_hash"), "marks")
     out = {}
     for kind in kinds:
         want = ids.where(F.col("rec_type") == kind.name).select("id", "text_hash", "cls")
         rows = spark.read.parquet(f"{sf_dir}/{kind.table}.parquet").select(F.col(kind.key).alias("id"), F.col(kind.text).alias("text"))
+        rows = maybe_marked(rows.withColumn("text_hash", F.xxhash64("text")), "text_hash", marks)
         # Sorted on both sides whatever the size; repeated rows of a key then lie together.
-        rows = rows.withColumn("text_hash", F.xxhash64("text")).join(want.hint("merge"), ["id", "text_hash"])
+        rows = rows.join(want.hint("merge"), ["id", "text_hash"])
         out[kind.name] = rows.groupBy("id", "text_hash").agg(F.first("cls").alias("cls"), F.first("text").alias("text")).select("cls", units_of("text", kind).alias("units"))
     return out
 

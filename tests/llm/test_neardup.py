@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkspark.llm import neardup
 
@@ -123,3 +124,11 @@ def test_a_key_with_several_texts_loses_no_link(spark, tmp_path):
     spark.createDataFrame([], "turn_id long, content string").write.parquet(f"{tmp_path}/turns.parquet")
     spark.createDataFrame([], "conv_id long, title string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert {(r.id_a, r.id_b) for r in neardup.found(spark, str(tmp_path)).collect()} == {(1, 2), (1, 3)}
+
+
+def test_bitmap_keeps_all_marked_rows(spark):
+    rows = spark.range(50_000).select(F.xxhash64("id").alias("h"), "id", F.lit(1).alias("clash"))
+    marks = neardup.marked(rows.where("id % 7 = 0"), "h")
+    kept = neardup.maybe_marked(rows, "h", marks)
+    assert kept.columns == ["h", "id", "clash"] and kept.where("id % 7 = 0").count() == 7143 and 7143 <= kept.count() < 7200
+    assert neardup.maybe_marked(rows, "h", neardup.marked(rows.where("false"), "h")).count() == 0
