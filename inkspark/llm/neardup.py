@@ -30,8 +30,8 @@ SKETCH = 32
 NODE, LEVELS = 256, 3
 #: Classes of up to this many copies are written out as all pairs, larger ones as pairs with their first record.
 SMALL_CLASS = 64
-#: Bits of the bitmap that keeps texts nobody wants out of a shuffle; with 4,096 rows of 4 kB it is 16 MB at most.
-BITS = 2**27
+#: Bits of the bitmap that keeps texts nobody wants out of a shuffle: 2,048 rows of 4 kB, 8 MB, at most.
+BITS = 2**26
 
 
 @dataclass(frozen=True)
