@@ -127,19 +127,14 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
     """key and ids (array<int>) of each row of docs, without special tokens; an empty list for null and empty texts.
 
     Rows with a null key are left out; give one row per key. Other columns of docs are not read.
-    Rare pieces travel to where equal pieces meet, sorted, and each is encoded once there; their ids then
-    join their document by position. Ids travel packed, two bytes each.
+    Rare pieces join the table of distinct pieces, and their ids join their document by position. Ids
+    travel packed, two bytes each.
     """
     docs = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    context = docs.sparkSession.sparkContext
-    loaded = load_merges(vocabulary, folder)
-    if len(loaded.pieces) > GAP:
+    if len(load_merges(vocabulary, folder).pieces) > GAP:
         raise ValueError(f"{vocabulary} has more than {GAP} ids")
-    merges = context.broadcast(loaded)
-    counted = materialize(_counts(docs, "text"), "counts")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    common = [r.piece for r in counted.where(F.col("n") * HEAD_SHARE >= total).select("piece").collect()]
-    head = context.broadcast((common, *_encode(pa.array(common, pa.string()), loaded)))
+    table = piece_table(docs, "text", vocabulary, folder)
+    head = docs.sparkSession.sparkContext.broadcast(_head(table))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, head_ids, head_at = head.value
@@ -164,15 +159,11 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
                 ["key", "pos", "piece", "run"],
             )
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            run, rare = b.column(3), pc.is_null(b.column(3))
-            codes = b.column(2).filter(rare).dictionary_encode()
-            ids, at = _encode(codes.dictionary, merges.value)
-            encoded = _packed(ids, at).take(codes.indices)
-            order = pa.concat_arrays([b.column(0).filter(pc.invert(rare)), b.column(0).filter(rare)])
-            pos = pa.concat_arrays([b.column(1).filter(pc.invert(rare)), b.column(1).filter(rare)])
-            yield pa.RecordBatch.from_arrays([order, pos, pa.concat_arrays([run.filter(pc.invert(rare)), encoded])], ["key", "pos", "ids"])
+            ids = b.column(1)
+            packed = _packed(ids.flatten().to_numpy(), ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py())
+            yield pa.RecordBatch.from_arrays([b.column(0), packed], ["piece", "packed"])
 
     def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,7 +178,8 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at[off], pa.int32()), pa.array(out))], ["key", "ids"])
 
     parts = docs.select("key", pieces_of("text").alias("w")).mapInArrow(split, "key long, pos int, piece string, run binary")
-    filled = parts.repartition("piece").sortWithinPartitions("piece").mapInArrow(fill, "key long, pos int, ids binary")
+    filled = parts.join(table.select("piece", "ids").mapInArrow(pack, "piece string, packed binary"), "piece", "left")
+    filled = filled.select("key", "pos", F.coalesce("run", "packed").alias("ids"))
     whole = filled.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("p"))
     whole = whole.select("key", F.col("p")[0]["ids"].alias("run"), F.transform(F.slice("p", 2, F.size("p")), lambda x: x["ids"]).alias("rare"))
     return whole.mapInArrow(splice, "key long, ids array<int>").withColumnRenamed("key", key)
