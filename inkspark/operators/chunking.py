@@ -195,12 +195,45 @@ def blend(chunk_vector: Column, document_vector: Column, alpha: float = 0.7) ->
     return F.transform(F.array(mixed), lambda v: F.when(length(v) > 0, F.transform(v, lambda x: x / length(v))))[0]
 
 
+def _distance(vector: str | Column, following: Column) -> Column:
+    dot = F.aggregate(F.zip_with(vector, following, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.round(1 - dot, 6)
+
+
 def semantic_breaks(steps: DataFrame, doc: str, order: str, vector: str, percentile: float = 0.95) -> DataFrame:
-    """doc, order, distance, segment: a new segment begins after a step whose distance to the next is above the percentile of its document."""
+    """doc, order, distance, segment: a new segment begins after a step whose distance to the next is above the percentile of its document.
+
+    A document is sorted in one task, as suits the sentences of a text; series_breaks takes any length.
+    """
     w = W.partitionBy(doc).orderBy(order)
-    dot = F.aggregate(F.zip_with(vector, F.lead(vector).over(w), lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    far = steps.withColumn("distance", F.round(1 - dot, 6))
+    far = steps.withColumn("distance", _distance(vector, F.lead(vector).over(w)))
     limits = far.groupBy(doc).agg(F.percentile("distance", F.lit(percentile)).alias("limit"))
     cut = far.join(limits, doc).withColumn("cut", (F.col("distance") > F.col("limit")).cast("int"))
     before = F.coalesce(F.sum(F.coalesce("cut", F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return cut.select(doc, order, "distance", before.cast("long").alias("segment"))
+
+
+def series_breaks(steps: DataFrame, doc: str, order: str, vector: str, percentile: float = 0.95, block: int = 65_536) -> DataFrame:
+    """The result of semantic_breaks for documents of any length, with whole numbers for order.
+
+    Steps are sorted in blocks of that many consecutive values of order; one row a block carries over what
+    crosses its end. The percentile is taken over distances with their counts. Rows with a null doc or order
+    are left out; of rows that repeat an order, the one with the smallest vector counts. A null or missing
+    vector gives a null distance, and no break.
+    """
+    given = steps.select(F.col(doc).alias("k"), F.col(order).alias("o"), F.col(vector).alias("v")).where("k is not null and o is not null")
+    given = given.withColumn("block", F.floor(F.col("o") / block))
+    inside, blocks = W.partitionBy("k", "block"), W.partitionBy("k").orderBy("block")
+    once = given.withColumn("earlier", F.lag("o").over(inside.orderBy("o", "v"))).where("earlier is null or earlier != o").drop("earlier")
+    w = inside.orderBy("o")
+
+    heads = once.groupBy("k", "block").agg(F.min_by(F.struct("v"), "o").alias("head")).select("k", "block", F.lead("head").over(blocks).alias("after"))
+    far = once.withColumn("next", F.lead(F.struct("v")).over(w)).join(heads, ["k", "block"])
+    far = far.select("k", "block", "o", _distance("v", F.coalesce("next", "after")["v"]).alias("distance"))
+    counts = far.where("distance is not null").groupBy("k", "distance").agg(F.count("*").alias("n"))
+    limits = counts.groupBy("k").agg(F.percentile("distance", F.lit(percentile), F.col("n")).alias("limit"))
+    cut = far.join(limits, "k", "left").withColumn("cut", F.coalesce((F.col("distance") > F.col("limit")).cast("long"), F.lit(0)))
+    until = lambda w: F.coalesce(F.sum("cut").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = cut.groupBy("k", "block").agg(F.sum("cut").alias("cut")).select("k", "block", until(blocks).alias("base"))
+    out = cut.withColumn("inner", until(w)).join(base, ["k", "block"])
+    return out.select(F.col("k").alias(doc), F.col("o").alias(order), "distance", (F.col("base") + F.col("inner")).alias("segment"))

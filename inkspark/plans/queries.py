@@ -310,7 +310,7 @@ def chunk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     l as (select label, quantile_cont(distance, 0.95) lim from f group by 1)
     select label, vec_id, distance, coalesce(sum(coalesce((distance > lim)::int, 0)) over (partition by label order by vec_id rows between unbounded preceding and 1 preceding), 0)::bigint segment from f join l using (label)""")
 def semantic_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.semantic_breaks(table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding")
+    return chunking.series_breaks(table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding")
 
 
 @query("""with e as (select vec_id, label, unnest(embedding)::double v, generate_subscripts(embedding, 1) pos from embeddings),

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -223,6 +224,20 @@ def test_semantic_cuts_where_meaning_turns(spark):
     assert len(out) >= 2 and "Stars" not in out[0].text and "cat" not in out[-1].text and sum(r.text.count(".") for r in out) == 24
 
 
+def test_series_breaks_in_blocks(spark):
+    rng = random.Random(5)
+    rows = [(d, o, [rng.random() for _ in range(4)]) for d in ("a", "b") for o in rng.sample(range(-500, 500), 120)] + [("c", 3, [1.0, 0.0, 0.0, 0.0])]
+    schema = "doc string, pos long, vec array<double>"
+    plain = {(r.doc, r.pos): r[2:] for r in chunking.semantic_breaks(spark.createDataFrame(rows, schema), "doc", "pos", "vec").collect()}
+    dirty = spark.createDataFrame([*rows, *rows[:9], (None, 1, [0.0]), ("a", None, [0.0])], schema).selectExpr("*", "1 as block", "2 as k", "3 as cut")
+    for block in (1, 7, 65_536):
+        got = chunking.series_breaks(dirty, "doc", "pos", "vec", block=block).collect()
+        assert len(got) == len(rows) and {(r.doc, r.pos): r[2:] for r in got} == plain
+    assert max(v[1] for v in plain.values()) > 3 and chunking.series_breaks(dirty.where("false"), "doc", "pos", "vec").count() == 0
+    gap = spark.createDataFrame([("a", 1, None), ("a", 2, [1.0]), ("a", 3, [0.5])], schema)
+    assert [(r.distance, r.segment) for r in chunking.series_breaks(gap, "doc", "pos", "vec").orderBy("pos").collect()] == [(None, 0), (0.5, 0), (None, 0)]
+
+
 def test_conversation_chunks_have_text(spark):
     rows = [(1, 7, 0, "user", "hi there"), (2, 7, 1, "Assistant", "Long answer one. " * 60), (3, 7, 2, "user", "ok"), (4, 8, 0, None, "alone"), (5, 8, 1, "user", None)]
     turns = spark.createDataFrame(rows, "turn_id long, conv_id long, turn_index int, role string, content string")
