@@ -49,15 +49,19 @@ def corpus(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFra
     return widened((docs.where(F.col("source_type") == kind) if kind else docs).select(F.col("doc_id").alias("id"), "text"))
 
 
+def _asked(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    rows = table(spark, sf_dir, "notes").where("note_id % 20 = 0").select("note_id", *columns, "ingested_at")
+    return vault.first_loaded(rows, "note_id").withColumnRenamed("note_id", "query_id")
+
+
 def title_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search queries: titles of the notes whose id is divisible by 20."""
-    return notes_once(spark, sf_dir).where("note_id % 20 = 0").select(F.col("note_id").alias("query_id"), F.col("title").alias("text"))
+    return _asked(spark, sf_dir, "title").select("query_id", F.col("title").alias("text"))
 
 
 def tag_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second wording of the same queries: title and tags."""
-    rows = notes_once(spark, sf_dir).where("note_id % 20 = 0")
-    return rows.select(F.col("note_id").alias("query_id"), F.concat_ws(" ", "title", F.array_join("tags", " ")).alias("text"))
+    return _asked(spark, sf_dir, "title", "tags").select("query_id", F.concat_ws(" ", "title", F.array_join("tags", " ")).alias("text"))
 
 
 NOTES = "notes1 as (select * from notes where note_id is not null qualify row_number() over (partition by note_id order by ingested_at) = 1)"

@@ -283,3 +283,24 @@ def test_bm25_against_brute_force(spark, monkeypatch):
         monkeypatch.setattr(retrieval, "TERMS_SENT", few)
         got = {(r.query_id, r.id, r["rank"]) for r in retrieval.bm25(corpus, queries, 5).collect()}
         assert len(got ^ want) <= 2  # sums in another order may round to another sixth place
+
+
+def test_bm25_in_blocks(spark, monkeypatch):
+    """Many sets, few at once, small blocks of postings: the same lists as in one go; queries with the same terms have the same list."""
+    import random
+
+    rnd = random.Random(4)
+    words = [f"t{i}" for i in range(30)]
+    docs = [(i, " ".join(rnd.choice(words[: rnd.choice((3, 10, 30))]) for _ in range(rnd.randint(0, 25)))) for i in range(300)]
+    corpus = spark.createDataFrame(docs + [(500 + i, d) for i, d in docs[:50]], "id long, text string").repartition(3)
+    asks = [(i, " ".join(rnd.sample(words, rnd.randint(1, 5)) + ["absent"])) for i in range(40)] + [(90, "t1 t0 T1 gone"), (91, "t0 t1"), (92, "absent"), (93, None), (None, "t1")]
+    queries = spark.createDataFrame(asks, "query_id long, text string")
+    lists = lambda: sorted((r.query_id, r["rank"], r.id, r.score) for r in retrieval.bm25(corpus, queries, 4).collect())
+    whole = lists()
+    same = [[x[1:] for x in whole if x[0] == q] for q in (90, 91)]
+    assert same[0] == same[1] and len(same[0]) == 4 and {x[0] for x in whole} == {*range(40), 90, 91}
+    for most, value in (("POSTINGS", 50), ("HITS_HELD", 60), ("PAIRS_SENT", 70), ("TERMS_SENT", 0)):
+        monkeypatch.setattr(retrieval, most, value)
+    blocked = lists()
+    assert [x[:3] for x in blocked] == [x[:3] for x in whole]
+    assert [x[3] for x in blocked] == pytest.approx([x[3] for x in whole], abs=2e-6)
