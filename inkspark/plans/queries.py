@@ -165,9 +165,10 @@ NOTE_CORPUS = "nc as (select note_id id, content as text from notes1)"
     select query_id, id note_id, score, 0 hop from hits
     union all select query_id, dst_id, low.score, 1 from new join low using (query_id) where not exists (select 1 from hits h where h.query_id = new.query_id and h.id = new.dst_id)""")
 def graph_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = notes_once(spark, sf_dir)
-    hits = retrieval.bm25(notes.select(F.col("note_id").alias("id"), F.col("content").alias("text")), title_queries(spark, sf_dir), 10)
-    return vault.expand(hits.select("query_id", F.col("id").alias("note_id"), "score"), vault.link_graph(notes))
+    rows = table(spark, sf_dir, "notes").select("note_id", "content", "title", "stem", "path", "ingested_at")
+    once = vault.first_loaded(rows.drop("title", "stem", "path"), "note_id")
+    hits = retrieval.bm25(once.select(F.col("note_id").alias("id"), F.col("content").alias("text")), title_queries(spark, sf_dir), 10)
+    return vault.expand(hits.select("query_id", F.col("id").alias("note_id"), "score"), vault.link_graph(vault.first_loaded(rows, "note_id")))
 
 
 SECTIONS = r"""
