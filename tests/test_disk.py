@@ -8,7 +8,9 @@ import pytest
 from inkspark.plans.queries import QUERIES
 from inkspark.session import shared_dir
 
-SEARCHES = ("bm25_topk", "graph_expand", "answer_contexts", "federated_search", "rrf_hybrid", "rerank_overlap", "source_summary")
+SEARCHES = (
+    "bm25_topk", "graph_expand", "answer_contexts", "federated_search", "rrf_hybrid", "rerank_overlap", "source_summary", "multi_query_merge",
+)
 N_DOCS, N_QUERIES, N_WORDS = 4_000, 3_000, 20
 
 
