@@ -128,7 +128,7 @@ class Engine:
 
 def contexts(hits: DataFrame, most_chars: int = 8_000) -> DataFrame:
     """query_id and context: the hits' texts in order of rank, each under its number, cut to most_chars."""
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["text"]))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("rank", F.substring("text", 1, most_chars).alias("text")))), lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["text"]))
     return hits.where("text is not null").groupBy("query_id").agg(F.substring(F.array_join(parts, "\n\n"), 1, most_chars).alias("context"))
 
 

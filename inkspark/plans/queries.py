@@ -413,7 +413,8 @@ def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {BM25} select query_id, substring(string_agg('[' || rank || '] ' || text, chr(10) || chr(10) order by rank), 1, 8000) context
     from hits join docs using (id) where rank <= 5 and text is not null group by 1""")
 def answer_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contexts(_bm25(spark, sf_dir).where("rank <= 5").join(corpus(spark, sf_dir), "id"))
+    hits = _bm25(spark, sf_dir).where("rank <= 5")
+    return contexts(hits.join(retrieval.hit_texts(hits, corpus(spark, sf_dir)), "id"))
 
 
 @query("select source_type, list_sort(list(distinct coalesce(source, 'Unknown'))) names from documents group by 1")

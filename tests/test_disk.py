@@ -58,7 +58,7 @@ def long_texts(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["rerank_overlap"])
+@pytest.mark.parametrize("name", ["rerank_overlap", "answer_contexts"])
 def test_long_texts_are_not_written_with_each_hit(spark, long_texts, name):
     before, sent = written(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables above it
